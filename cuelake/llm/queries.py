@@ -7,13 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import exact_dedup, simhash
+from cuelake.llm import bpe, exact_dedup, mixing, simhash
+
+TOKENIZERS = "/opt/tokenizers"
+WORD_BPE = "word_bpe_49k.json"
+MIX_WEIGHTS = {
+    "domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1},
+    "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
+}
+MIX_SEED = 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, seed=MIX_SEED, carry=("doc_id",))
+    return found.select("r.doc_id", "domain", "lang", "source", "tokens", "epoch")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coded = bpe.encode(docs, f"{TOKENIZERS}/{WORD_BPE}", decoded=True)
+    return coded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,13 +50,67 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mix": op1_source_mix,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }
 
+WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+
+def _case(level: str) -> str:
+    whens = "".join(f" WHEN '{k}' THEN {w}" for k, w in MIX_WEIGHTS.get(level, {}).items())
+    return f"CASE {level}{whens} ELSE 1 END" if whens else "1"
+
+
+def _share_sql(level: str, keys: list[str], known: str) -> str:
+    """One level of the tree: the parents' budgets shared among their children."""
+    parent, here = ", ".join(keys), ", ".join([*keys, level])
+    part = f"PARTITION BY {parent}"
+    order = f"{part} ORDER BY capacity / weight, {level}"
+    return f"""
+        {level}_n AS (SELECT {here}, sum(capacity)::BIGINT AS capacity, sum(tokens)::BIGINT AS tokens, {_case(level)} AS weight
+                      FROM leaves GROUP BY {here}),
+        {level}_f AS (
+          SELECT n.*, k.budget,
+                 coalesce(sum(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c_before,
+                 sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left
+          FROM {level}_n n JOIN {known} k USING ({parent})),
+        {level}_g AS (SELECT *, capacity * w_left <= (budget - c_before) * weight AS is_full FROM {level}_f),
+        {level}_b AS (
+          SELECT {here}, tokens,
+                 (CASE WHEN is_full THEN capacity
+                       ELSE ((budget - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({part})) * weight)
+                            // greatest(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({part}), 1) END)::BIGINT AS budget
+          FROM {level}_g),"""
+
+
+MIX_SQL = rf"""
+    WITH d AS (
+      SELECT doc_id, 'd' || (coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS BIGINT), 0) % 4)
+               AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {WORDS_SQL} AS tokens
+      FROM documents),
+    leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, 2 * sum(tokens)::BIGINT AS capacity, 'root' AS root
+               FROM d WHERE tokens > 0 GROUP BY ALL),
+    r AS (SELECT 'root' AS root, least(sum(tokens), sum(capacity))::BIGINT AS budget FROM leaves),
+    {_share_sql("domain", ["root"], "r")}
+    {_share_sql("lang", ["root", "domain"], "domain_b")}
+    {_share_sql("source", ["root", "domain", "lang"], "lang_b")}
+    p AS (SELECT domain, lang, source, budget // tokens AS epochs, budget % tokens AS rest FROM source_b),
+    m AS (
+      SELECT d.*, p.epochs, p.rest, sum(d.tokens) OVER (
+               PARTITION BY d.domain, d.lang, d.source
+               ORDER BY sha256('{MIX_SEED}:' || p.epochs || ':' || d.doc_id)) AS running
+      FROM d JOIN p USING (domain, lang, source) WHERE d.tokens > 0)
+    SELECT doc_id, domain, lang, source, tokens, unnest(range(epochs + CASE WHEN running <= rest THEN 1 ELSE 0 END)) AS epoch
+    FROM m
+"""
+
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_source_mix": MIX_SQL,
     "op7_exact_dedup": f"""
         WITH t AS (
           SELECT doc_id, translate(coalesce(text, ''), {UPPER_LOWER}) AS norm FROM documents

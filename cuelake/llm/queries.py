@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import bpe, exact_dedup, mixing, simhash
+from cuelake.llm import bpe, exact_dedup, fingerprints, line_dedup, mixing, simhash
 
 TOKENIZERS = "/opt/tokenizers"
 WORD_BPE = "word_bpe_49k.json"
@@ -27,6 +27,15 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("r.doc_id", "domain", "lang", "source", "tokens", "epoch")
 
 
+def op2_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_comparison(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), carry=("doc_id",))
+    return found.select("r.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coded = bpe.encode(docs, f"{TOKENIZERS}/{WORD_BPE}", decoded=True)
@@ -51,7 +60,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_canonical_digest": op2_canonical_digest,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
 }
@@ -110,6 +121,19 @@ MIX_SQL = rf"""
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": f"""
+        WITH l AS (
+          SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+        k AS (
+          SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {UPPER_LOWER}) AS key
+          FROM l),
+        g AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        m AS (SELECT k.*, g.key IS NOT NULL AND k.doc_id <> g.keep AS gone FROM k LEFT JOIN g ON k.key = g.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
     "op1_source_mix": MIX_SQL,
     "op7_exact_dedup": f"""
         WITH t AS (

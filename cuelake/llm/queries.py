@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import bpe, exact_dedup, fingerprints, line_dedup, mixing, simhash
+from cuelake.llm import (
+    bpe,
+    exact_dedup,
+    fingerprints,
+    html_text,
+    licences,
+    line_dedup,
+    mixing,
+    packing,
+    quality,
+    simhash,
+)
 
 TOKENIZERS = "/opt/tokenizers"
 WORD_BPE = "word_bpe_49k.json"
@@ -16,6 +27,7 @@ MIX_WEIGHTS = {
     "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
 }
 MIX_SEED = 17
+QUALITY_SEED = 42
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +43,24 @@ def op2_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_comparison(table(spark, sf_dir, "documents"))
 
 
+def op3_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.importance_sample(docs, labels, seed=QUALITY_SEED)
+
+
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{WORD_BPE}")
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), carry=("page_id", "url"))
+    return found.select("r.page_id", "r.url", "text", "n_chars")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), carry=("doc_id",))
     return found.select("r.doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -61,6 +91,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_canonical_digest": op2_canonical_digest,
+    "op3_importance_sample": op3_importance_sample,
+    "op4_licence_scan": op4_licence_scan,
+    "op5_packed_ids": op5_packed_ids,
+    "op6_main_text": op6_main_text,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,

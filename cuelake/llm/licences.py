@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cuelake.llm import ngrams
 
 BINS = 1 << 13
-MAX_PLAIN = 2_000
+MAX_PLAIN = 500
 CONFIRM = 0.6
 UNKNOWN = "unknown"
 
@@ -154,7 +154,7 @@ def _examples(plain: list[str], rng: np.random.Generator) -> tuple[list[str], li
     return texts, labels
 
 
-def train(plain: list[str], seed: int = 0, rounds: int = 300, rate: float = 4.0, l2: float = 1e-5) -> Classifier:
+def train(plain: list[str], seed: int = 0, rounds: int = 300, rate: float = 16.0, l2: float = 1e-5) -> Classifier:
     """Full-batch gradient descent; temperature and threshold from a held-out quarter."""
     rng = np.random.default_rng(seed)
     texts, labels = _examples(plain, rng)

@@ -2,9 +2,11 @@
 
 Two generative models over hashed unigrams and bigrams: one of target text
 (labelled as good and not toxic), one of the raw corpus.  A document's score is
-the sum of log(p_target / p_raw) over its n-grams; the sample of size k without
-replacement in proportion to exp(score) is the top k of score plus Gumbel noise.
-The noise comes from a hash of seed and id, so a lost task redraws the same.
+the mean of log(p_target / p_raw) over its n-grams times ``LENGTH``: the log
+importance weight of a text of that many n-grams, so that long and short
+documents compare.  The sample of size k without replacement in proportion to
+exp(score) is the top k of score plus Gumbel noise.  The noise comes from a hash
+of seed and id, so a lost task redraws the same.
 
 The raw model counts every n-gram of every document.  The target model and the
 threshold are fitted on at most ``MAX_LABELS`` labelled documents.  k is the
@@ -30,6 +32,7 @@ from cuelake.llm.tables import stored
 BINS = 1 << 16
 MAX_LABELS = 20_000
 SMOOTHING = 0.5
+LENGTH = 256
 QUANTILE_ERROR = 1e-4
 
 
@@ -41,15 +44,15 @@ class Model:
     threshold: float
     seed: int
 
-    def weigh(self, text: str | None) -> tuple[float, float]:
-        """(sum, mean) of the log ratios of a text; (0, 0) when it has no n-gram."""
+    def weigh(self, text: str | None) -> float:
+        """The mean log ratio of a text's n-grams; 0 when it has none."""
         total, n = 0.0, 0
         tokens = ngrams.token_hashes(text or "")
         if len(tokens):
             for part in ngrams.pieces(tokens, len(self.ratio)):
                 total += float(self.ratio[part].sum())
                 n += len(part)
-        return total, total / max(n, 1)
+        return total / max(n, 1)
 
     def gumbel(self, key: str) -> float:
         """Standard Gumbel noise from the seed and a row's key."""
@@ -111,7 +114,7 @@ def fit(
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.weigh(t.as_py())[1] for t in b.column(0)]
+            got = [model.weigh(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column(1)], ["mean", "quality"])
 
     rows = known.select("text", F.col("quality").cast("int")).mapInArrow(means, "mean double, quality int").collect()
@@ -139,8 +142,8 @@ def _weigher(model: Model):
     def weigh(ids: pa.Array, texts: pa.Array) -> pa.Array:
         rows = []
         for i, t in zip(ids, texts, strict=True):
-            score, mean = model.weigh(t.as_py())
-            rows.append((score, mean, score + model.gumbel(i.as_py() or "")))
+            mean = model.weigh(t.as_py())
+            rows.append((LENGTH * mean, mean, LENGTH * mean + model.gumbel(i.as_py() or "")))
         cols = [pa.array(c, pa.float64()) for c in (list(zip(*rows, strict=True)) or [(), (), ()])]
         return pa.StructArray.from_arrays(cols, ["score", "mean", "key"])
 

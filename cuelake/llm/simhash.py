@@ -90,13 +90,8 @@ def variant_masks(blocks: int = BLOCKS) -> list[tuple[int, list[int]]]:
 
 def variants(classes: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """(key, fp, node) for every variant of every class."""
-    keys = [
-        F.transform(
-            F.array(*(F.lit(p) for p in flips)), lambda p, keep=keep: F.col("fp").bitwiseAND(F.lit(keep)).bitwiseXOR(p)
-        )
-        for keep, flips in variant_masks(blocks)
-    ]
-    return classes.select(F.explode(F.concat(*keys)).alias("key"), "fp", "node")
+    keys = [F.col("fp").bitwiseAND(F.lit(keep)).bitwiseXOR(F.lit(p)) for keep, flips in variant_masks(blocks) for p in flips]
+    return classes.select(F.explode(F.array(*keys)).alias("key"), "fp", "node")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from cuelake.plans import corpus, media, sequences
+from cuelake.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _plans in (media.P, corpus.P, sequences.P):
+    QUERIES |= _plans.queries
+    ORACLE_SQL |= _plans.oracles

@@ -13,9 +13,11 @@ encodings of words that it has met, up to ``MAX_CACHED`` words, then starts over
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,9 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+BYTE_TABLE = dict(enumerate(byte_symbols()))
+
+
 class WordBPE:
     """Encoder and decoder of a word-end BPE vocabulary file (tokenizers' JSON)."""
 
@@ -59,7 +64,6 @@ class WordBPE:
         self.name_table = np.array(self.names, dtype=object)
         self.inner = {t: i for t, i in vocab.items() if not t.endswith(self.mark)}
         self.final = {t[: -len(self.mark)]: i for t, i in vocab.items() if t.endswith(self.mark)}
-        self.longest = max(map(len, [*self.inner, *self.final]))
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -67,7 +71,8 @@ class WordBPE:
         self.symbols = {i: [self.inner[c] for c in t] for t, i in self.inner.items()}
         self.symbols |= {i: [*(self.inner[c] for c in t[:-1]), self.final[t[-1]]] for t, i in self.final.items() if t}
         self.made = {new: (rank, *pair) for pair, (rank, new) in self.ranks.items()}
-        self.sizes = {id(t): self._sizes(t) for t in (self.inner, self.final)}
+        self.begins = {t[:k] for t in [*self.inner, *self.final] for k in range(1, len(t) + 1)}
+        self.follow: dict[str, tuple[str, list[tuple[int, int]], list[tuple[int, int]]]] = {}
         self.good: dict[tuple[int, int], bool] = {}
         self.cached: dict[str, bytes] = {}
 
@@ -84,15 +89,6 @@ class WordBPE:
             ids[i : i + 2] = [ranks[ids[i], ids[i + 1]][1]]
         return ids
 
-    @staticmethod
-    def _sizes(table: dict[str, int]) -> dict[str, list[int]]:
-        """By their last three symbols: the sizes of tokens of three symbols and more, large first."""
-        found: dict[str, set[int]] = {}
-        for t in table:
-            if len(t) > 2:
-                found.setdefault(t[-3:], set()).add(len(t))
-        return {tail: sorted(sizes, reverse=True) for tail, sizes in found.items()}
-
     def stays(self, u: int, t: int) -> bool:
         """Whether BPE leaves ``u, t`` as they are; u = -1: whether t stands alone."""
         known = self.good.get((u, t))
@@ -122,16 +118,34 @@ class WordBPE:
             else:
                 y_used, y = my[0], my[1]
 
-    def last_token(self, path: str, tokens: list[int], table: dict[str, int]) -> int:
-        """The last token of ``path``; ``tokens``: the last tokens of its prefixes, by length."""
-        n, m = len(path), len(tokens)
-        for size in self.sizes[id(table)].get(path[-3:], ()):
-            if size <= n and (t := table.get(path[n - size :])) is not None and self.stays(tokens[m - size], t):
-                return t
-        for size in (2, 1):
-            if size <= n and (t := table.get(path[n - size :])) is not None and self.stays(tokens[m - size], t):
-                return t
-        raise ValueError(f"no token ends {path[-self.longest :]!r}")
+    def _follow(self, path: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+        """What the end of a path allows: the longest end that begins some token, and (token, size) of
+        the tokens that end here inside a word and at its end, large first.
+
+        ``path`` need only be the longest end of the path before that begins a
+        token, and one more symbol.
+        """
+        found = self.follow.get(path)
+        if found is None:
+            ends = [path[k:] for k in range(len(path))]
+            found = self.follow[path] = (
+                next((e for e in ends if e in self.begins), ""),
+                [(self.inner[e], len(e)) for e in ends if e in self.inner],
+                [(self.final[e], len(e)) for e in ends if e in self.final],
+            )
+        return found
+
+    def _last(self, tokens: list[int], choices: list[tuple[int, int]]) -> tuple[int, int]:
+        """The choice that BPE makes after ``tokens``, the last tokens of all shorter prefixes."""
+        n, known = len(tokens), self.good.get
+        for t, size in choices:
+            u = tokens[n - size]
+            ok = known((u, t))
+            if ok is None:
+                ok = self.stays(u, t)
+            if ok:
+                return t, size
+        raise ValueError("no token ends here")
 
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
         """Ids of every word (strings of byte symbols), by one walk over their trie."""
@@ -139,40 +153,52 @@ class WordBPE:
         for w in words:
             node = root
             for c in w[:-1]:
-                node = node.setdefault(c, {})
-            node.setdefault("", []).append(w)
+                below = node.get(c)
+                if below is None:
+                    below = node[c] = {}
+                node = below
+            node[w[-1] + self.mark] = w
         out: dict[str, list[int]] = {}
         tokens = [-1]  # tokens[k]: the last token of the first k symbols of the path
         sizes = [0]
-        stack = [("", root, 0)]  # the last symbols of the path, as many as a token may have
+        follow, good = self.follow.get, self._last
+        stack = [("", root, 0)]  # the end of the path that begins a token
         while stack:
             path, node, depth = stack.pop()
             del tokens[depth or 1 :], sizes[depth or 1 :]
             if depth:
-                t = self.last_token(path, tokens, self.inner)
+                end, inside, _ = follow(path) or self._follow(path)
+                t, size = good(tokens, inside)
                 tokens.append(t)
-                sizes.append(len(self.names[t]))
-            for w in node.get("", ()):
-                t = self.last_token(w[-self.longest :], tokens, self.final)
-                ids, at = [t], len(w) - (len(self.names[t]) - len(self.mark))
+                sizes.append(size)
+            else:
+                end = ""
+            for c, below in node.items():
+                if below.__class__ is dict:
+                    stack.append((end + c, below, depth + 1))
+                    continue
+                last = end + c[0]
+                t, size = good(tokens, (follow(last) or self._follow(last))[2])
+                ids, at = [t], depth + 1 - size
                 while at:
                     ids.append(tokens[at])
                     at -= sizes[at]
-                out[w] = ids[::-1]
-            stack += [((path + k)[-self.longest :], v, depth + 1) for k, v in node.items() if k]
+                ids.reverse()
+                out[below] = ids
         return out
 
     def _words(self, chunk: str) -> list[str | int]:
         """The words of a text without white space, as byte symbols; ids of special tokens."""
-        from unicodedata import normalize
-
-        table, out = byte_symbols(), []
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
+        out: list[str | int] = []
         for part in self.special_split.split(chunk) if "<|" in chunk else [chunk]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
                 plain = normalize("NFC", part).replace("Σ", "σ").lower()
-                out += ["".join(table[b] for b in w.encode()) for w in self.pieces.findall(plain)]
+                words = [plain] if plain.isascii() and plain.isalpha() else self.pieces.findall(plain)
+                out += [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTE_TABLE) for w in words]
         return out
 
     def _chunks(self, text: str) -> list[str]:
@@ -186,8 +212,16 @@ class WordBPE:
             self.cached.clear()
         if len(self.good) > 4 * MAX_CACHED:
             self.good.clear()
+        if len(self.follow) > MAX_CACHED:
+            self.follow.clear()
         fresh = {c: self._words(c) for c in set().union(*split).difference(self.cached)}
-        found = self.encode_words({w for ws in fresh.values() for w in ws if isinstance(w, str)})
+        collecting = gc.isenabled()
+        gc.disable()  # a trie has no cycles, only many small dicts to scan in vain
+        try:
+            found = self.encode_words({w for ws in fresh.values() for w in ws if isinstance(w, str)})
+        finally:
+            if collecting:
+                gc.enable()
         long: dict[str, bytes] = {}
         for c, ws in fresh.items():
             ids = [i for w in ws for i in (found[w] if isinstance(w, str) else (w,))]
@@ -208,7 +242,7 @@ def loaded(path: str) -> WordBPE:
     return WordBPE(path)
 
 
-def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters each, so that memory stays bounded."""
     at = size = 0
     for i, t in enumerate(texts):

@@ -15,19 +15,24 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CACHED = 600_000
 LONGEST_CACHED = 64
-ODD_SPACE = regex.compile("[\x1c-\x1f]")
+ODD_SPACE = re.compile("[\x1c-\x1f]")
+# Fixed value: the split pattern of the vocabulary files that this encoder reads.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
+CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
+KIND = re.compile("a+|0|[.]+")
 
 
 @cache
@@ -45,6 +50,23 @@ def byte_symbols() -> list[str]:
 BYTE_TABLE = dict(enumerate(byte_symbols()))
 
 
+def split_words(text: str) -> list[str]:
+    """``SPLIT`` on a lower-case text: contractions, runs of letters, single numbers, runs of other signs."""
+    if text.isascii():
+        return ASCII_SPLIT.findall(text)
+    kinds = "".join(
+        "a" if c.isalpha() else "0" if c.isnumeric() else " " if c.isspace() and not "\x1c" <= c <= "\x1f" else "."
+        for c in text
+    )
+    out, at = [], 0
+    while at < len(text):
+        m = (CONTRACTION.match(text, at) if text[at] == "'" else None) or KIND.match(kinds, at)
+        if m:
+            out.append(text[at : m.end()])
+        at = m.end() if m else at + 1
+    return out
+
+
 class WordBPE:
     """Encoder and decoder of a word-end BPE vocabulary file (tokenizers' JSON)."""
 
@@ -55,9 +77,10 @@ class WordBPE:
         vocab: dict[str, int] = model["vocab"]
         self.mark: str = model["end_of_word_suffix"]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(split["pattern"]["Regex"])
+        if split["pattern"]["Regex"] != SPLIT:
+            raise ValueError("the vocabulary splits words in another way")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.names = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for name, i in [*vocab.items(), *self.special.items()]:
             self.names[i] = name
@@ -197,13 +220,15 @@ class WordBPE:
                 out.append(self.special[part])
             elif part:
                 plain = normalize("NFC", part).replace("Σ", "σ").lower()
-                words = [plain] if plain.isascii() and plain.isalpha() else self.pieces.findall(plain)
+                words = [plain] if plain.isascii() and plain.isalpha() else split_words(plain)
                 out += [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTE_TABLE) for w in words]
         return out
 
     def _chunks(self, text: str) -> list[str]:
         # str.split also splits at 1C-1F, which the vocabulary's pattern takes for signs.
-        return regex.split(r"\s+", text) if ODD_SPACE.search(text) else text.split()
+        if ODD_SPACE.search(text):
+            return [x for x in re.split(r"[^\S\x1c-\x1f]+", text) if x]
+        return text.split()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text, as little-endian unsigned 32-bit integers."""

@@ -8,7 +8,8 @@ node its last token, so a prefix that many words share is encoded once.  The
 last symbol of a word carries the end-of-word mark and is a leaf of its own.
 
 Documents are encoded where they are: no shuffle, one pass.  A task keeps the
-encodings of words that it has met, up to ``MAX_CACHED`` words, then starts over.
+encodings of words that it has met, up to ``MAX_CACHED`` words, then starts over; so it does with
+the pairs and path ends that it has looked at.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import gc
 import json
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from unicodedata import normalize
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CACHED = 600_000
+MAX_CACHED, MAX_PAIRS, MAX_STATES = 400_000, 800_000, 150_000
 LONGEST_CACHED = 64
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 # Fixed value: the split pattern of the vocabulary files that this encoder reads.
@@ -33,6 +34,21 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
 CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)")
 KIND = re.compile("a+|0|[.]+")
+# Letters, numbers and capitals that Unicode 16 and 17 added and Python does not know yet.
+NEW_LETTERS = re.compile(
+    "[\u1c89\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85"
+    "\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1"
+    "\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff"
+    "\U0001e5d0-\U0001e5ed\U0001e5f0]"
+)
+NEW_NUMBERS = re.compile(
+    "[\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79"
+    "\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa]"
+)
+NEW_CAPITALS = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B
+}
+NEW_CAPITALS |= {0x10D50 + i: 0x10D70 + i for i in range(22)} | {0x16EA0 + i: 0x16EBB + i for i in range(25)}
 
 
 @cache
@@ -50,14 +66,21 @@ def byte_symbols() -> list[str]:
 BYTE_TABLE = dict(enumerate(byte_symbols()))
 
 
+@lru_cache(1 << 16)
+def _kind(c: str) -> str:
+    """a: letter, 0: number, space, or . for any other sign."""
+    if c.isalpha() or NEW_LETTERS.match(c):
+        return "a"
+    if c.isnumeric() or NEW_NUMBERS.match(c):
+        return "0"
+    return " " if c.isspace() and not "\x1c" <= c <= "\x1f" else "."
+
+
 def split_words(text: str) -> list[str]:
     """``SPLIT`` on a lower-case text: contractions, runs of letters, single numbers, runs of other signs."""
     if text.isascii():
         return ASCII_SPLIT.findall(text)
-    kinds = "".join(
-        "a" if c.isalpha() else "0" if c.isnumeric() else " " if c.isspace() and not "\x1c" <= c <= "\x1f" else "."
-        for c in text
-    )
+    kinds = "".join(map(_kind, text))
     out, at = [], 0
     while at < len(text):
         m = (CONTRACTION.match(text, at) if text[at] == "'" else None) or KIND.match(kinds, at)
@@ -96,7 +119,7 @@ class WordBPE:
         self.made = {new: (rank, *pair) for pair, (rank, new) in self.ranks.items()}
         self.begins = {t[:k] for t in [*self.inner, *self.final] for k in range(1, len(t) + 1)}
         self.follow: dict[str, tuple[str, list[tuple[int, int]], list[tuple[int, int]]]] = {}
-        self.good: dict[tuple[int, int], bool] = {}
+        self.good: dict[int, bool] = {}  # by u * 2 ** 20 + t
         self.cached: dict[str, bytes] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -114,10 +137,10 @@ class WordBPE:
 
     def stays(self, u: int, t: int) -> bool:
         """Whether BPE leaves ``u, t`` as they are; u = -1: whether t stands alone."""
-        known = self.good.get((u, t))
+        known = self.good.get((u << 20) + t)
         if known is None:
             alone = u < 0
-            known = self.good[u, t] = self.merge(self.symbols[t]) == [t] if alone else not self._crossed(u, t)
+            known = self.good[(u << 20) + t] = self.merge(self.symbols[t]) == [t] if alone else not self._crossed(u, t)
         return known
 
     def _crossed(self, x: int, y: int) -> bool:
@@ -163,7 +186,7 @@ class WordBPE:
         n, known = len(tokens), self.good.get
         for t, size in choices:
             u = tokens[n - size]
-            ok = known((u, t))
+            ok = known((u << 20) + t)
             if ok is None:
                 ok = self.stays(u, t)
             if ok:
@@ -220,6 +243,8 @@ class WordBPE:
                 out.append(self.special[part])
             elif part:
                 plain = normalize("NFC", part).replace("Σ", "σ").lower()
+                if not plain.isascii():
+                    plain = plain.translate(NEW_CAPITALS)
                 words = [plain] if plain.isascii() and plain.isalpha() else split_words(plain)
                 out += [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTE_TABLE) for w in words]
         return out
@@ -235,9 +260,9 @@ class WordBPE:
         split = [self._chunks(t or "") for t in texts]
         if len(self.cached) > MAX_CACHED:
             self.cached.clear()
-        if len(self.good) > 4 * MAX_CACHED:
+        if len(self.good) > MAX_PAIRS:
             self.good.clear()
-        if len(self.follow) > MAX_CACHED:
+        if len(self.follow) > MAX_STATES:
             self.follow.clear()
         fresh = {c: self._words(c) for c in set().union(*split).difference(self.cached)}
         collecting = gc.isenabled()

@@ -9,7 +9,7 @@ from zlib import crc32
 import numpy as np
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-_MOST = 500_000
+_MOST = 250_000
 
 
 class Hashes(dict):

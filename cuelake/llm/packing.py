@@ -14,16 +14,27 @@ segment), and for each segment its document and offset there, from which
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.bpe import loaded, slices
-
 ROW_TOKENS, GROUP_TOKENS, PAD = 2048, 1 << 20, 0
+# Fixed value: how byte-level vocabularies split a text before they merge.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@cache
+def loaded(path: str) -> tiktoken.Encoding:
+    """The byte-level vocabulary of a file of ranks; one per worker process."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 class FreeSpace:
@@ -100,8 +111,9 @@ def pack(
 
     ``ids`` and ``positions`` are ``row_tokens`` little-endian unsigned 32-bit
     integers; beyond ``cu_seqlens[-1]`` both are zero.  ``docs`` and ``offsets``
-    name each segment's document and its first token there.  Documents without
-    tokens (null or blank texts) take part in no row.  Repeated ids and null ids
+    name each segment's document and its first token there.  ``path``: a file of
+    byte-level ranks, on every node; bytes make the ids lossless.  Null and empty
+    texts have no tokens and take part in no row.  Repeated ids and null ids
     are packed like others, each row of ``docs`` on its own.  (part, row) is
     unique.  Empty input gives an empty frame.
     """
@@ -122,16 +134,14 @@ def pack(
                     ("positions", pa.binary()), ("docs", pa.list_(b.schema.field(0).type)), ("offsets", pa.list_(pa.int64())),
                 ]
             )
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                for key, raw in zip(keys[lo:hi], coder.encode_batch(texts[lo:hi]), strict=True):
-                    ids = np.frombuffer(raw, "<u4")
-                    group += [(key, o, ids[o : o + row_tokens]) for o in range(0, len(ids), row_tokens)]
-                    tokens += len(ids)
-                    if tokens >= GROUP_TOKENS:
-                        rows = _packed(group, row_tokens, task, at)
-                        yield pa.RecordBatch.from_pylist(rows, target)
-                        group, tokens, at = [], 0, at + len(rows)
+            for key, text in zip(b.column(0), b.column(1), strict=True):
+                ids = np.array(coder.encode_ordinary(text.as_py() or ""), "<u4")
+                group += [(key.as_py(), o, ids[o : o + row_tokens]) for o in range(0, len(ids), row_tokens)]
+                tokens += len(ids)
+                if tokens >= GROUP_TOKENS:
+                    rows = _packed(group, row_tokens, task, at)
+                    yield pa.RecordBatch.from_pylist(rows, target)
+                    group, tokens, at = [], 0, at + len(rows)
         if group:
             yield pa.RecordBatch.from_pylist(_packed(group, row_tokens, task, at), target)
 

@@ -22,6 +22,7 @@ from cuelake.llm import (
 
 TOKENIZERS = "/opt/tokenizers"
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.tiktoken"
 MIX_WEIGHTS = {
     "domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1},
     "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
@@ -53,7 +54,7 @@ def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{WORD_BPE}")
+    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/{BYTE_BPE}")
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

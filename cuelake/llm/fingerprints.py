@@ -114,9 +114,15 @@ def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), at.alias("at"))
     cuts = rows.select("at").where(F.col("at") > float("-inf"))
     inner = sorted(set(cuts.approxQuantile("at", [i / n for i in range(1, n)], 1 / (4 * n))))
-    cut = Bucketizer(splits=[float("-inf"), *inner, float("inf")], inputCol="at", outputCol="bucket")
-    heads = sorted(cut.transform(rows.select("id", "at")).groupBy("bucket").agg(F.max("id")).collect(), reverse=True)
-    buckets = cut.transform(rows).select("bucket", "id", "text")
+
+    def bucketed(frame: DataFrame) -> DataFrame:
+        if not inner:  # no id, or null ids only
+            return frame.withColumn("bucket", F.lit(0.0))
+        splits = [float("-inf"), *inner, float("inf")]
+        return Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(frame)
+
+    heads = sorted(bucketed(rows.select("id", "at")).groupBy("bucket").agg(F.max("id")).collect(), reverse=True)
+    buckets = bucketed(rows).select("bucket", "id", "text")
     own = buckets.select("bucket", F.lit(0).alias("guest"), "id", "text")
     if not heads:
         return own

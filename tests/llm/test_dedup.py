@@ -168,6 +168,12 @@ def test_edit_comparison(request, name):
     assert Counter(map(tuple, fingerprints.edit_comparison(frame).collect())) == Counter(slow_edits(frame))
 
 
+def test_edit_comparison_of_few_rows(odd):
+    """One document follows itself; null ids follow each other."""
+    for few in (odd.where("doc_id = 1"), odd.where("doc_id is null"), odd.where("doc_id in (1, 2)")):
+        assert Counter(map(tuple, fingerprints.edit_comparison(few).collect())) == Counter(slow_edits(few))
+
+
 def test_canonical():
     assert fingerprints.canonical("  Straße\t\nＡＢＣ ﬁ ") == fingerprints.canonical("STRASSE abc FI")
     assert fingerprints.canonical("a b") != fingerprints.canonical("ab")

@@ -6,8 +6,8 @@ over hashed word 1- and 2-grams gives each paragraph a licence family or
 is unknown too.  A prediction counts only when a template of that family is
 contained in the paragraph, or the paragraph in the template, by word pairs.
 
-The classifier is trained when first used: from the notices below, joined and
-cut at random (seeded), against plain sentences and at most ``MAX_PLAIN``
+The classifier is trained when first used: from the notices below and each of
+their sentences by itself, joined and cut at random (seeded), against plain sentences and at most ``MAX_PLAIN``
 paragraphs of the scanned corpus that hold no licence word.
 """
 
@@ -129,12 +129,18 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def sentences(notice: str) -> list[str]:
+    """The notice, and each of its sentences if it has more than one."""
+    parts = re.split(r"(?<=[.;])\s+(?=[A-Z])", notice)
+    return [notice, *parts] if len(parts) > 1 else parts
+
+
 def _examples(plain: list[str], rng: np.random.Generator) -> tuple[list[str], list[int]]:
     """Whole and cut notices, alone and amid plain words, and plain paragraphs."""
     families, texts, labels = list(NOTICES), [], []
     words = [w for p in plain + PLAIN for w in p.split()]
     for k, family in enumerate(families, 1):
-        for notice in NOTICES[family]:
+        for notice in (s for whole in NOTICES[family] for s in sentences(whole)):
             for n in range(24):
                 own = notice.split()
                 if n and len(own) > 6:
@@ -194,7 +200,7 @@ def _pairs(text: str) -> frozenset[tuple[str, str]]:
     return frozenset(zip(words, words[1:], strict=False))
 
 
-TEMPLATES = {f: [_pairs(n) for n in ns] for f, ns in NOTICES.items()}
+TEMPLATES = {f: [_pairs(s) for n in ns for s in sentences(n)] for f, ns in NOTICES.items()}
 
 
 def likeness(family: str, paragraph: str) -> float:

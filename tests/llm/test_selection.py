@@ -156,6 +156,26 @@ def test_licence_scan(docs, odd, empty):
     assert licences.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "family"),
+    [
+        ("All rights reserved.", "proprietary"), ("Copyright 2020 Some Company. All rights reserved.", "proprietary"),
+        ("No part of this work may be reproduced without written permission.", "proprietary"), ("CC0 1.0 Universal.", "public-domain"),
+        ("All seats on the train were reserved.", None), ("All rights of way across the field are old.", None),
+    ],
+)
+def test_sentences_of_notices(classifier, text, family):
+    assert [f for _, f, _, _ in licences.scan_text(classifier, f"lorem\n{text}\nipsum dolor")] == ([family] if family else [])
+
+
+def test_every_licence_line_is_found(docs):
+    got = {r["doc_id"]: r["families"] for r in licences.scan(docs).collect()}
+    marks = {
+        "Apache License": "apache-2.0", "MIT License": "mit", "GNU General": "gpl", "CC BY-NC": "cc-by-nc", "All rights reserved.": "proprietary",
+    }
+    assert got == {r["doc_id"]: sorted(f for m, f in marks.items() if m in r["text"]) for r in docs.collect()}
+
+
 def test_tree_knows_its_pages():
     for html, known in html_text.LABELLED:
         found = html_text.blocks(html)

@@ -264,6 +264,20 @@ def vocab_encode(spark, sf):
     return cues(spark, sf).where("src_text <> ''").select("cue_id", ids.alias("ids"))
 
 
+@P.add(
+    "vocab_encode_whole",
+    f"""
+    , k AS ({VOCAB} SELECT map_from_entries(list((char, id::INTEGER))) AS ids FROM v)
+    SELECT cue_id, list_transform(string_split(src_text, ''), lambda c: coalesce(map_extract_value(k.ids, c), 1)) AS ids
+    FROM cues, k WHERE src_text <> ''""",
+    over_cues=True,
+)
+def vocab_encode_whole(spark, sf):
+    vocab = sampling.vocabulary(table(spark, sf, "documents"), "text", 3, 50)
+    ids = sampling.encode(F.col("src_text"), {r["char"]: r["id"] for r in vocab.collect()})  # at most 50 rows
+    return cues(spark, sf).where("src_text <> ''").select("cue_id", ids.cast("array<int>").alias("ids"))
+
+
 ZZ = "(1.96::DOUBLE * 1.96::DOUBLE)"
 WILSON = f"""((hits / n + {ZZ} / (2 * n::DOUBLE) {{sign}} 1.96::DOUBLE * sqrt(hits / n * (1 - hits / n) / n + {ZZ} / (4 * n::DOUBLE * n))) / (1 + {ZZ} / n::DOUBLE))"""
 

@@ -30,3 +30,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_texts_are_encoded(spark, sf_dir):
+    from cuelake.sources.tables import cues
+
+    ids = {r["char"]: r["id"] for r in catalog.QUERIES["vocab_topk"](spark, sf_dir).collect()}
+    texts = {r["cue_id"]: r["src_text"] for r in cues(spark, sf_dir).where("src_text <> ''").collect()}
+    got = {r["cue_id"]: r["ids"] for r in catalog.QUERIES["vocab_encode_whole"](spark, sf_dir).collect()}
+    assert got == {k: [ids.get(c, 1) for c in t] for k, t in texts.items()}
+    assert max(map(len, got.values())) > 5 and len({i for x in got.values() for i in x}) > 4

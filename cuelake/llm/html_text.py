@@ -3,7 +3,9 @@
 A page becomes a flat list of text blocks.  Features of a block: word count and
 link density of itself and of the blocks before and after it, whether it lies
 in an article or main container, and whether a container around it is
-boilerplate by its element or its class names.  The tree is trained when first
+boilerplate by its element or its class names.  An article opens a main container
+unless it lies in, or is, a teaser or comment; names of the whole page count for
+nothing.  The tree is trained when first
 used, on the hand-labelled blocks of ``LABELLED``.
 """
 
@@ -42,6 +44,13 @@ NOISE_NAMES = re.compile(
     r"recommend\w*|widget\w*|breadcrumbs?|pagination|tags|login|signup|search)(?:$|[\s_-])",
     re.I,
 )
+#: Containers that an article in them does not turn into the page's article: teasers and readers' comments.
+FIRM_TAGS = frozenset("aside nav footer".split())
+FIRM_NAMES = re.compile(
+    r"(?:^|\s)(?:ads?|advert\w*|sponsor\w*|promo\w*|side-?bar(?![_-])|comments?|commentlist|disqus|reply|replies|related|recommend\w*)"
+    r"(?=$|\s|[_-](?!open|closed|free|on\b|off\b|enabled|disabled))",
+    re.I,
+)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|body-?text|content)(?:$|[\s_-])", re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -68,7 +77,7 @@ class Block:
 def blocks(html: str) -> list[Block]:
     """The flat text blocks of a page, in page order; never raises on broken markup."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: element, in main, in noise
+    stack: list[tuple[str, bool, bool, bool]] = []  # open containers: element, in main, in noise, in noise to stay
     now, links, at = Block(), 0, 0
 
     def text(raw: str) -> None:
@@ -109,11 +118,14 @@ def blocks(html: str) -> list[Block]:
                         del stack[i:]
                         break
             elif not m["attrs"].endswith("/"):
-                main, noise = stack[-1][1:] if stack else (False, False)
-                names = " ".join(a or b or c for a, b, c in NAMES.findall(m["attrs"]))
-                bad = tag in NOISE_TAGS or (tag == "header" and not main) or bool(names and NOISE_NAMES.search(names))
-                good = tag in ("article", "main") or bool(names and not bad and MAIN_NAMES.search(names))
-                stack.append((tag, main or good, (noise or bad) and not (good and not main)))
+                main, noise, firm = stack[-1][1:] if stack else (False, False, False)
+                # the names of the whole page say what is on it, not what it is
+                names = "" if tag in ("html", "body") else " ".join(a or b or c for a, b, c in NAMES.findall(m["attrs"]))
+                article = tag in ("article", "main")
+                firm = tag != "main" and (firm or tag in FIRM_TAGS or bool(names and FIRM_NAMES.search(names)))
+                bad = tag in NOISE_TAGS or (tag == "header" and not main) or bool(names and not article and NOISE_NAMES.search(names))
+                good = not firm and (article or bool(names and not bad and MAIN_NAMES.search(names)))
+                stack.append((tag, main or good, (noise or bad or firm) and not (good and not main), firm))
         cut()
     text(html[at:])
     cut()
@@ -167,6 +179,17 @@ LABELLED = [
         (0, "<section class='related'><p>read on</p></section>"), (1, "<p><a href=x>a source</a></p>"), (1, "<p>fin</p></article>"),
         (0, f"<aside class=sidebar><p>{LONG}{LONG}</p></aside>"), (0, f"<footer><p>{LONG}</p></footer>"),
     ),
+    _page(
+        (1, "<body class='has-sidebar single-post'><article class=post><h1>a title</h1>"), (1, f"<p>{LONG}</p>"), (1, "<p>fin</p></article>"),
+        (0, f"<section class=comments><article class=comment><p>{LONG}{LONG}</p>"), (0, "<p>i agree</p></article>"),
+        (0, f"<article class=comment><p>{LONG}</p></article></section>"), (0, "<aside><article class=teaser><h3>other</h3>"),
+        (0, f"<p>{LONG}</p></article></aside></body>"),
+    ),
+    _page(
+        (0, "<body class=has-sidebar><p><a href=x>one</a></p>"), (0, "<p><a href=x>two links here</a></p>"),
+        (1, f"<div><p>{LONG}{LONG}</p>"), (1, f"<p>{LONG}</p>"), (1, "<p>some words in the middle</p>"), (1, f"<p>{LONG}</p></div>"),
+        (0, "<p><a href=x>next</a> <a href=x>page</a></p>"), (0, "<p><a href=x>terms of use</a></p></body>"),
+    ),
 ]
 
 

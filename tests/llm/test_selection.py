@@ -206,3 +206,25 @@ def test_references_and_noise():
         f"<div class=comments><p>{para}</p></div><form><p>{para}</p></form></article><aside>{para * 4}</aside></body>"
     )
     assert html_text.main_text(page) == f"A & B – {para}{para}x"
+
+
+def test_comments_teasers_and_page_names():
+    import re
+
+    para = "several plain words that make a paragraph of the article here "
+    story = f"<h1>a title</h1><p>{para * 3}</p><p>{para * 2}</p><p>the end</p>"
+    text = " ".join(re.sub(r"<[^>]+>", " ", story).split())
+    comment, teaser = (f"<article class={c}><p>{para * 3}</p><p>{para * 2}</p></article>" for c in ("comment", "teaser"))
+    for page in (
+        f"<article>{story}</article><section class=comments>{comment}{comment}</section>",
+        f"<article>{story}</article><section class=comments>{comment.replace(' class=comment', '')}</section>",
+        f"<article>{story}</article>{comment}{comment}", f"<article>{story}</article><aside>{teaser}</aside>",
+        f"<article>{story}</article><div class='related-posts'>{teaser}{teaser}</div>", f"<article>{story}</article><footer>{teaser}</footer>",
+        f"<div class=has-sidebar><article class='post ad-free share'>{story}</article><aside>{teaser}</aside></div>",
+        f"<form><div id=page class=comments-open><main class=content>{story}</main></div></form>",
+    ):
+        assert html_text.main_text(f"<html class=nav-open><body class='has-sidebar single-post'>{page}<footer>the site</footer></body></html>") == text
+    bare = "".join(f"<p>{para * n}</p>" for n in (6, 3, 4))
+    for names in ("", " class=has-sidebar", " id=menu class='post content'"):
+        page = f"<body{names}><p><a href=x>one</a></p><p><a href=x>two more</a></p><div>{bare}</div><p><a href=x>terms</a></p></body>"
+        assert html_text.main_text(page) == (para * 13).strip()

@@ -59,13 +59,19 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * w) / F.sum(w)
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The element at index min(n - 1, int(n * q)) of the sorted values: no interpolation.
+def nearest_rank(rows: DataFrame, by: str, value: str, q: float) -> DataFrame:
+    """(by, value): per group, the element at index min(n - 1, int(n * q)) of the sorted values, no interpolation.
 
-    Collects a group's values; for groups of bounded size.
+    Values are counted first: what is ordered is a group's distinct values, never its rows.
+    Nulls do not count; a group of nothing else gives null.
     """
-    v = F.array_sort(F.collect_list(values))
-    return F.element_at(v, F.least(F.size(v), F.floor(F.size(v) * q).cast("int") + 1))
+    counts = rows.groupBy(by, value).agg(F.count(value).alias("count"))
+    group = Window.partitionBy(by)
+    upto, n = F.sum("count").over(group.orderBy(value)), F.sum("count").over(group)
+    ranked = counts.select(by, value, "count", upto.alias("upto"), n.alias("n"))
+    rank = F.least(F.col("n"), F.floor(F.col("n") * q) + 1)
+    here = (F.col("upto") >= rank) & ((F.col("upto") - F.col("count") < rank) | (F.col("n") == 0))
+    return ranked.where(here).select(by, value)
 
 
 def against_floor(strata: DataFrame, stratum: str, floor: str) -> DataFrame:

@@ -340,7 +340,7 @@ def weighted_mean(spark, sf):
     SELECT lang, n_chars AS p95 FROM r WHERE rn = least(n, floor(n * 0.95::DOUBLE)::BIGINT + 1)""",
 )
 def nearest_rank_quantile(spark, sf):
-    return table(spark, sf, "documents").groupBy("lang").agg(stats.nearest_rank(F.col("n_chars"), 0.95).alias("p95"))
+    return stats.nearest_rank(table(spark, sf, "documents"), "lang", "n_chars", 0.95).withColumnRenamed("n_chars", "p95")
 
 
 @P.add(

@@ -40,3 +40,17 @@ def test_whole_texts_are_encoded(spark, sf_dir):
     got = {r["cue_id"]: r["ids"] for r in catalog.QUERIES["vocab_encode_whole"](spark, sf_dir).collect()}
     assert got == {k: [ids.get(c, 1) for c in t] for k, t in texts.items()}
     assert max(map(len, got.values())) > 5 and len({i for x in got.values() for i in x}) > 4
+
+
+def test_nearest_rank_orders_distinct_values(spark):
+    from cuelake.operators import stats
+
+    values = {"a": [3, 1, 1, None, 2, 2, 2], "b": [5], "c": [None, None], None: [7, 7, 4, 9]}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "lang string, n_chars long")
+    for q in (0.0, 0.3, 0.5, 0.95, 1.0):
+        found = stats.nearest_rank(rows, "lang", "n_chars", q)
+        known = {k: sorted(v for v in vs if v is not None) for k, vs in values.items()}
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(
+            ((k, vs[min(len(vs) - 1, int(len(vs) * q))] if vs else None) for k, vs in known.items()), key=str
+        )
+    assert "collect_list" not in found._jdf.queryExecution().toString()

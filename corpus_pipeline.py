@@ -30,7 +30,12 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the smallest id."""
+    """Of each group of linked fingerprints, the document with the smallest id.
+
+    The stage follows the contract of ``op10_simhash``: shingles of three words, at
+    most 3 of 64 bits.  That is narrower than five words at similarity 0.8: most
+    copies of that kind stay.
+    """
     return simhash.drop_near_duplicates(docs)
 
 

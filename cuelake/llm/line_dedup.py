@@ -3,7 +3,7 @@
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased.
 Every document's distinct keys own two positions each; a position's count tells
 once-seen from twice-seen, and the twice-seen positions make a bitmap of bounded
-size.  Only keys that the bitmap suspects are shuffled, to be confirmed by
+size, one per shard of the hash space.  Only keys that the bitmap suspects are shuffled, to be confirmed by
 SHA-256 digest and counted by document.  Documents that lose a line are found
 through a second bitmap, over ids; the others pass straight through.
 """
@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.exact_dedup import filter_size, probe, repeated_bitmap
+from cuelake.llm.exact_dedup import _shards, filter_size, probe, repeated_bitmap
 from cuelake.llm.tables import ascii_lower, stored, whole
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -48,9 +49,13 @@ def repeated_lines(
         raise ValueError("min_docs must be at least 2: the filters tell once from twice")
     keys = _keys(docs, id_col, text_col, min_chars)
     hashed = stored(keys.select(F.xxhash64("key").alias("h"), "id", F.sha2("key", 256).alias("sha")), "lines")
-    bits, _ = filter_size(hashed.count())
-    bitmap = stored(repeated_bitmap(hashed, bits), "bitmap")
-    suspects = stored(probe(hashed, bitmap, bits).where("suspect").select("id", "sha").distinct(), "suspects")
+    suspects = reduce(
+        DataFrame.union,
+        (
+            stored(probe(part, bitmap, bits).where("suspect").select("id", "sha").distinct(), "suspects")
+            for part, bitmap, bits in _shards(hashed)
+        ),
+    )
     confirmed = suspects.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
     confirmed = stored(confirmed.where(F.col("n") >= min_docs).select("sha", "keep"), "confirmed")
     return suspects.join(confirmed, "sha").where("id <> keep").select("id", "sha")

@@ -190,3 +190,14 @@ def test_colliding_rows_get_ordinals(spark):
     rows = spark.createDataFrame([(1, "f"), (2, "f"), (3, "g")], "id long, fp string")
     other = spark.createDataFrame([(2, "f", 1)], "id long, fp string, ordinal int")
     assert {tuple(r) for r in fingerprints._with_ordinals(rows, other).collect()} == {(1, "f"), (2, "f-1"), (3, "g")}
+
+
+def test_line_filter_has_shards(docs, monkeypatch):
+    from cuelake.llm import exact_dedup, line_dedup
+
+    whole = sorted(map(tuple, line_dedup.repeated_lines(docs).collect()))
+    probed = []
+    monkeypatch.setattr(line_dedup, "probe", lambda *x: probed.append(x[2]) or exact_dedup.probe(*x))
+    monkeypatch.setattr(exact_dedup, "filter_size", lambda rows: (exact_dedup.MIN_BITS, 4))
+    assert sorted(map(tuple, line_dedup.repeated_lines(docs).collect())) == whole != []
+    assert len(probed) == 4

@@ -1,25 +1,25 @@
 """Line dedup with Bloom filters for once-seen and twice-seen line hashes.
 
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased.
-Every document's distinct keys own two positions each; a position's count tells
-once-seen from twice-seen, and the twice-seen positions make a bitmap of bounded
-size, one per shard of the hash space.  Only keys that the bitmap suspects are shuffled, to be confirmed by
-SHA-256 digest and counted by document.  Documents that lose a line are found
-through a second bitmap, over ids; the others pass straight through.
+Tasks send the filter positions of their documents' distinct keys, met once and met
+again; a region of the bitmap is folded into two Bloom filters, of positions seen
+once and of positions seen twice (``filters.once_and_twice``), of which the second
+is kept.  Only keys it suspects shuffle, to be confirmed by SHA-256 digest and
+counted by document.  Documents that lose a line are found through another filter,
+over ids; the others pass straight through.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.exact_dedup import _shards, filter_size, probe, repeated_bitmap
-from cuelake.llm.tables import ascii_lower, stored, whole
+from cuelake.llm import filters
+from cuelake.llm.tables import ascii_lower, column, stored, whole
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -32,11 +32,11 @@ def line_key(line: Column) -> Column:
 
 def _keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(id, key): the distinct keys of every document with an id."""
-    long = F.filter(F.split(whole(F.col(f"`{text_col}`")), "\n", -1), lambda x: F.length(x) >= min_chars)
+    long = F.filter(F.split(whole(column(text_col)), "\n", -1), lambda x: F.length(x) >= min_chars)
     keys = F.array_distinct(F.transform(long, line_key))
     return (
-        docs.where(F.col(f"`{id_col}`").isNotNull())
-        .select(F.col(f"`{id_col}`").alias("id"), F.explode(keys).alias("key"))
+        docs.where(column(id_col).isNotNull())
+        .select(column(id_col).alias("id"), F.explode(keys).alias("key"))
         .where(F.length("key") >= min_chars)
     )
 
@@ -49,13 +49,8 @@ def repeated_lines(
         raise ValueError("min_docs must be at least 2: the filters tell once from twice")
     keys = _keys(docs, id_col, text_col, min_chars)
     hashed = stored(keys.select(F.xxhash64("key").alias("h"), "id", F.sha2("key", 256).alias("sha")), "lines")
-    suspects = reduce(
-        DataFrame.union,
-        (
-            stored(probe(part, bitmap, bits).where("suspect").select("id", "sha").distinct(), "suspects")
-            for part, bitmap, bits in _shards(hashed)
-        ),
-    )
+    probed = filters.probe(hashed, filters.once_and_twice(hashed.select("h"), hashed.count()))
+    suspects = stored(probed.where("suspect").select("id", "sha").distinct(), "suspects")
     confirmed = suspects.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
     confirmed = stored(confirmed.where(F.col("n") >= min_docs).select("sha", "keep"), "confirmed")
     return suspects.join(confirmed, "sha").where("id <> keep").select("id", "sha")
@@ -99,17 +94,15 @@ def drop_repeated_lines(
     gone = repeated_lines(docs, id_col, text_col, min_chars, min_docs)
     # A document's own lines bound its list.
     gone = stored(gone.groupBy("id").agg(F.collect_set("sha").alias("gone")), "gone")
-    bits, _ = filter_size(gone.count())
-    hit = gone.select(F.xxhash64("id").alias("h"))
-    bitmap = stored(repeated_bitmap(hit.union(hit), bits), "bitmap")
+    losers = filters.members(gone.select(F.xxhash64("id").alias("h")), gone.count())
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in carry)).alias("r"),
-        F.col(f"`{id_col}`").alias("id"),
-        whole(F.col(f"`{text_col}`")).alias("text"),
-        F.xxhash64(F.col(f"`{id_col}`")).alias("h"),
+        F.struct(*(column(c) for c in carry)).alias("r"),
+        column(id_col).alias("id"),
+        whole(column(text_col)).alias("text"),
+        F.xxhash64(column(id_col)).alias("h"),
     )
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    rows = probe(rows.withColumn("n_lines", lines.cast("long")), bitmap, bits)
+    rows = filters.probe(rows.withColumn("n_lines", lines.cast("long")), losers)
     clean = rows.where(~F.col("suspect")).select("r", "text", "n_lines", F.lit(0).cast("long").alias("n_dropped"))
     met = (
         rows.where("suspect")

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster.  Only when it is unset
-(local tests) is a folder of our own made and set.
+``spark.checkpoint.dir`` names that folder.  Only on a local master may it be
+unset: then a folder of our own is made and set.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
+    """This application's part of the shared folder; raises on a cluster that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="cuelake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cuelake-{spark.sparkContext.applicationId}"
@@ -44,3 +46,8 @@ def ascii_lower(text: Column) -> Column:
 def whole(text: Column) -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(text, F.lit(""))
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col(f"`{name}`")

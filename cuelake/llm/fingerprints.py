@@ -5,25 +5,27 @@ Unicode white space made one space and none at the ends.  Its XXH3-128 is the
 fingerprint.  Rows whose hash is met only once are settled; the others shuffle
 on the hash and compare bytes with the row of the smallest id of their bucket,
 so that two texts share a fingerprint only if their canonical bytes are equal:
-what differs inside a bucket gets an ordinal behind the hash.
+what differs inside a bucket gets an ordinal behind the hash.  The fingerprint of
+an edited text, which is no row of the table, is the plain hash; whether it equals
+the row's own is decided by comparing bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from unicodedata import normalize
 
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.exact_dedup import filter_size, probe, repeated_bitmap
-from cuelake.llm.tables import stored
+from cuelake.llm import filters
+from cuelake.llm.tables import column, stored
 
-BUCKETS_PER_PARTITION, MAX_BUCKETS = 4, 1 << 14
+BUCKETS_PER_PARTITION, ROWS_PER_BUCKET, SAMPLED_PER_BUCKET = 4, 1 << 16, 16
 
 
 def canonical(text: str | None) -> bytes:
@@ -48,18 +50,19 @@ def _canon_rows(docs: DataFrame, id_col: str, text_col: str, with_text: bool) ->
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (
-        docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+        docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
         .mapInArrow(run, f"id {kind}, fp string" + ", canon binary" * with_text)
         .withColumn("h", F.xxhash64("fp"))
     )
 
 
-def collided(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, ordinal >= 1): rows whose bytes differ from the first form of their bucket."""
-    fps = stored(_canon_rows(docs, id_col, text_col, False), "fps")
-    bits, _ = filter_size(fps.count())
-    bitmap = stored(repeated_bitmap(fps, bits), "bitmap")
-    members = probe(_canon_rows(docs, id_col, text_col, True), bitmap, bits).where("suspect").select("id", "fp", "canon")
+def collided(docs: DataFrame, fps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, ordinal >= 1): rows whose bytes differ from the first form of their bucket.
+
+    ``fps`` (fp, ...) are the hashes of all rows of ``docs``, stored.
+    """
+    repeated = filters.twice(fps.select(F.xxhash64("fp").alias("h")), fps.count())
+    members = filters.probe(_canon_rows(docs, id_col, text_col, True), repeated).where("suspect").select("id", "fp", "canon")
     found, ordinal = None, 0
     while True:
         first = stored(members.groupBy("fp").agg(F.min(F.struct("id", "canon")).alias("first")), "first")
@@ -85,8 +88,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated rows and repeated ids are kept as they are; other columns are not
     read.  An empty table gives an empty frame.
     """
-    plain = _canon_rows(docs, id_col, text_col, False).select("id", "fp")
-    return _with_ordinals(plain, collided(docs, id_col, text_col)).select(
+    plain = stored(_canon_rows(docs, id_col, text_col, False).select("id", "fp"), "fps")
+    return _with_ordinals(plain, collided(docs, plain, id_col, text_col)).select(
         F.col("id").alias(id_col), F.col("fp").alias("fingerprint")
     )
 
@@ -99,39 +102,41 @@ def _with_ordinals(rows: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """(bucket, guest, id, text): rows by bucket of the id, each bucket with the row after its last as a guest.
 
-    Buckets are quantile ranges of the id.  Only ids are read to find the range
-    bounds and each bucket's largest id; those two lists have at most
-    ``MAX_BUCKETS`` entries.  Whole texts move once.
+    Buckets are ranges of the id, whatever its type, between quantiles of a sample
+    in hash order.  The driver sees that sample and each bucket's largest id: about
+    one id in 4,096, no text.  Whole texts move once.  Also the number of buckets.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = min(MAX_BUCKETS, BUCKETS_PER_PARTITION * parts)
-    # Null ids come after all others.
-    at = F.coalesce(F.col(f"`{id_col}`").cast("double"), F.lit(float("-inf")))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), at.alias("at"))
-    cuts = rows.select("at").where(F.col("at") > float("-inf"))
-    inner = sorted(set(cuts.approxQuantile("at", [i / n for i in range(1, n)], 1 / (4 * n))))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
+    known = rows.select("id").where("id is not null")
+    n = max(BUCKETS_PER_PARTITION * parts, known.count() // ROWS_PER_BUCKET)
+    drawn = known.orderBy(F.xxhash64("id"), "id").limit(n * SAMPLED_PER_BUCKET)
+    drawn = [r["id"] for r in drawn.orderBy("id").collect()]
+    bounds = sorted(set(drawn[SAMPLED_PER_BUCKET::SAMPLED_PER_BUCKET]))
+
+    @F.arrow_udf("int")
+    def bucket(ids: pa.Array) -> pa.Array:
+        """Place among the bounds; null ids come after all others."""
+        return pa.array((-1 if i is None else bisect_left(bounds, i) for i in ids.to_pylist()), pa.int32())
 
     def bucketed(frame: DataFrame) -> DataFrame:
-        if not inner:  # no id, or null ids only
-            return frame.withColumn("bucket", F.lit(0.0))
-        splits = [float("-inf"), *inner, float("inf")]
-        return Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(frame)
+        return frame.withColumn("bucket", bucket("id"))
 
-    heads = sorted(bucketed(rows.select("id", "at")).groupBy("bucket").agg(F.max("id")).collect(), reverse=True)
+    heads = sorted(bucketed(rows.select("id")).groupBy("bucket").agg(F.max("id")).collect(), reverse=True)
     buckets = bucketed(rows).select("bucket", "id", "text")
     own = buckets.select("bucket", F.lit(0).alias("guest"), "id", "text")
     if not heads:
-        return own
+        return own, n
     hosts = [heads[-1], *heads[:-1]]  # after the last bucket comes the first
     pairs = [(h[1], t[0]) for h, t in zip(heads, hosts, strict=True)]
     kind = docs.schema[id_col].dataType.simpleString()
-    sent = F.broadcast(spark.createDataFrame(pairs, f"head {kind}, host double"))
+    sent = F.broadcast(spark.createDataFrame(pairs, f"head {kind}, host int"))
     guests = buckets.join(sent, F.col("id").eqNullSafe(F.col("head")))
-    return own.union(guests.select(F.col("host"), F.lit(1), "id", "text"))
+    return own.union(guests.select(F.col("host"), F.lit(1), "id", "text")), n
 
 
 def edited(text: str, following: str) -> str:
@@ -169,17 +174,16 @@ def edit_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = (
-        _neighbours(docs, id_col, text_col)
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "guest", F.desc("id"), F.desc("text"))
-    )
+    buckets, n = _neighbours(docs, id_col, text_col)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // BUCKETS_PER_PARTITION)
+    dealt = buckets.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", F.desc("id"), F.desc("text"))
     rows = dealt.mapInArrow(
         run,
         f"id {kind}, n_chars long, edited_sha256 string, fp string, edited_fingerprint string, "
         "near_edited double, near_next double",
     )
-    found = _with_ordinals(rows, collided(docs, id_col, text_col))
+    rows = stored(rows, "edits")
+    found = _with_ordinals(rows, collided(docs, rows.select("fp"), id_col, text_col))
     return found.select(
         F.col("id").alias(id_col),
         "n_chars",

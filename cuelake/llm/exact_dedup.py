@@ -1,85 +1,25 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass one folds every text's 64-bit hash into a counting Bloom filter: each hash
-owns two positions, positions are counted with map-side combining, and those
-counted at least twice become 64-bit words of a bitmap.  Pass two probes the
-bitmap: a row whose positions are both set may be repeated and is shuffled for
-an exact comparison of SHA-256 digests; every other row is unique for certain
-and passes straight through.
-
-The bitmap is broadcast, so its size has a fixed bound: ``MAX_BITS`` bits, at
-most ``MAX_BITS / 64`` rows of 16 bytes (32 MB).  Beyond the rows one bitmap can
-serve, the digests are split by hash range into shards, one bitmap each, and
-each shard is probed with its own bitmap.
+Pass one adds every text's 64-bit hash to a counting Bloom filter of fixed cells
+(``filters.twice``), of which the positions that two rows own stay.  Pass two
+probes it: a row whose positions are both set may be repeated and shuffles for an
+exact comparison of SHA-256 digests; every other row is unique for certain and
+passes straight through.  Both passes run over a stored table of digests, so a text
+is read once to judge and, where whole rows are wanted, once more to deliver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.tables import ascii_lower, stored, whole
-
-BITS_PER_ROW = 32
-MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
-MAX_SHARDS = 64
-
-
-def filter_size(rows: int) -> tuple[int, int]:
-    """(bits of a bitmap, shards) for so many rows; both powers of two."""
-    bits, shards = MIN_BITS, 1
-    while bits < rows * BITS_PER_ROW and bits < MAX_BITS:
-        bits *= 2
-    while bits * shards < rows * BITS_PER_ROW and shards < MAX_SHARDS:
-        shards *= 2
-    return bits, shards
-
-
-def _positions(h: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(h, F.lit(salt)), F.lit(bits)) for salt in (1, 2)]
-
-
-def repeated_bitmap(hashes: DataFrame, bits: int) -> DataFrame:
-    """(word, mask): the bits of positions that at least two hashes own."""
-    counted = (
-        hashes.select(F.explode(F.array(*_positions(F.col("h"), bits))).alias("pos"))
-        .groupBy("pos")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n >= 2")
-    )
-    return counted.groupBy(F.expr("shiftright(pos, 6)").alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(pos & 63 as int)))").alias("mask")
-    )
-
-
-def probe(rows: DataFrame, bitmap: DataFrame, bits: int) -> DataFrame:
-    """``rows`` with ``suspect``: whether every position of ``h`` is set."""
-    out, hit = rows, []
-    for k, pos in enumerate(_positions(F.col("h"), bits)):
-        words = F.broadcast(bitmap.select(F.col("word").alias(f"_w{k}"), F.col("mask").alias(f"_m{k}")))
-        out = out.withColumn(f"_p{k}", pos)
-        out = out.join(words, F.expr(f"shiftright(_p{k}, 6)") == F.col(f"_w{k}"), "left")
-        hit.append(F.coalesce(F.expr(f"getbit(_m{k}, cast(_p{k} & 63 as int)) = 1"), F.lit(False)))
-    return out.withColumn("suspect", reduce(Column.__and__, hit)).drop(
-        *(f"{c}{k}" for c in ("_p", "_w", "_m") for k in range(len(hit)))
-    )
-
-
-def _shards(digests: DataFrame) -> list[tuple[DataFrame, DataFrame, int]]:
-    """Per shard of the hash space: its digests, its bitmap, the bitmap's bits."""
-    bits, shards = filter_size(digests.count())
-    out = []
-    for s in range(shards):
-        part = digests if shards == 1 else digests.where(F.pmod("h", F.lit(shards)) == s)
-        out.append((part, stored(repeated_bitmap(part, bits), "bitmap"), bits))
-    return out
+from cuelake.llm import filters
+from cuelake.llm.tables import ascii_lower, column, stored, whole
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    norm = ascii_lower(whole(F.col(text_col)))
-    return docs.select(F.col(id_col).alias("id"), norm.alias("norm")).select(
+    norm = ascii_lower(whole(column(text_col)))
+    return docs.select(column(id_col).alias("id"), norm.alias("norm")).select(
         "id",
         F.monotonically_increasing_id().alias("rid"),
         F.xxhash64("norm").alias("h"),
@@ -87,6 +27,10 @@ def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _probed(digests: DataFrame) -> DataFrame:
+    return filters.probe(digests, filters.twice(digests.select("h"), digests.count()))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
@@ -96,30 +40,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     has a null ``keep_id``.  Empty input gives an empty frame.  Other columns of
     ``docs`` are not read, whatever their names.
     """
-    digests = stored(_digests(docs, id_col, text_col), "digests")
-    parts = []
-    for part, bitmap, bits in _shards(digests):
-        probed = probe(part, bitmap, bits)
-        alone = probed.where(~F.col("suspect")).select(
-            "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
-        )
-        suspects = probed.where("suspect").drop("suspect", "h")
-        groups = stored(
-            suspects.groupBy("sha").agg(
-                F.max(F.struct("id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size")
-            ),
-            "groups",
-        )
-        # Both sides are plain scans: the adaptive skew join can split a hot digest.
-        confirmed = suspects.join(groups, "sha").select(
-            "id",
-            F.col("keep.id").alias("keep_id"),
-            "group_size",
-            (F.col("rid") == F.col("keep.rid")).alias("kept"),
-            "sha",
-        )
-        parts += [alone, confirmed]
-    return reduce(DataFrame.union, parts).select(
+    probed = _probed(stored(_digests(docs, id_col, text_col), "digests"))
+    alone = probed.where(~F.col("suspect")).select(
+        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
+    )
+    suspects = probed.where("suspect").select("id", "rid", "sha")
+    groups = suspects.groupBy("sha").agg(F.max(F.struct("id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    # Both sides are plain scans: the adaptive skew join can split a hot digest.
+    confirmed = suspects.join(stored(groups, "groups"), "sha").select(
+        "id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "sha"
+    )
+    return alone.union(confirmed).select(
         F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")
     )
 
@@ -127,31 +58,27 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they came.
 
-    Same rules as ``exact_duplicates``.  Rows that the filter clears are never
-    shuffled; suspected rows meet their group's keeper on (digest, id), so a
-    group of any size is spread over the cluster.
+    Same rules as ``exact_duplicates``.  Suspects are confirmed by their digests
+    alone.  A second filter, of the hashes confirmed as repeated, then parts the
+    whole rows: those it clears never shuffle, the others meet the list of rows that
+    stay on (digest, id), so a group of any size is spread over the cluster.
     """
     digests = stored(_digests(docs, id_col, text_col), "digests")
-    names = docs.columns
+    suspects = _probed(digests).where("suspect")
+    groups = suspects.groupBy("sha", "h").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    keepers = stored(groups.where("n > 1").select("sha", "h", "id"), "keepers")
+    repeated = filters.members(keepers.select("h"), keepers.count())
+    # A few texts of one row pass that filter by chance: they stay, too.
+    stray = filters.probe(digests, repeated).where("suspect").join(keepers.select("sha"), "sha", "left_anti")
+    stay = keepers.select("sha", "id").union(stray.select("sha", "id"))
+    stay = stored(stay.select(F.col("sha").alias("stay_sha"), F.col("id").alias("stay_id")), "stay")
     norm = ascii_lower(whole(F.col(f"r.`{text_col}`")))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("r")).select(
+    rows = docs.select(F.struct(*(column(c) for c in docs.columns)).alias("r")).select(
         "r", F.xxhash64(norm).alias("h"), F.sha2(norm, 256).alias("sha")
     )
-    shards = _shards(digests)
-    parts = []
-    for s, (part, bitmap, bits) in enumerate(shards):
-        mine = rows if len(shards) == 1 else rows.where(F.pmod("h", F.lit(len(shards))) == s)
-        probed = probe(mine, bitmap, bits)
-        keepers = (
-            probe(part, bitmap, bits).where("suspect").groupBy("sha").agg(F.max("id").alias("keep_id"))
-        ).withColumnRenamed("sha", "keep_sha")
-        keepers = stored(keepers, "keepers")
-        met = probed.where("suspect").join(
-            keepers,
-            (F.col("sha") == F.col("keep_sha")) & F.col(f"r.`{id_col}`").eqNullSafe(F.col("keep_id")),
-        )
-        parts += [
-            probed.where(~F.col("suspect")).select("r"),
-            met.dropDuplicates(["keep_sha", "keep_id"]).select("r"),
-        ]
-    return reduce(DataFrame.union, parts).select("r.*")
+    parted = filters.probe(rows, repeated)
+    met = parted.where("suspect").join(
+        stay, (F.col("sha") == F.col("stay_sha")) & F.col(f"r.`{id_col}`").eqNullSafe(F.col("stay_id"))
+    )
+    kept = met.dropDuplicates(["stay_sha", "stay_id"]).select("r")
+    return parted.where(~F.col("suspect")).select("r").union(kept).select("r.*")

@@ -7,8 +7,9 @@ import string
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from cuelake.llm import exact_dedup, fingerprints, line_dedup, simhash
+from cuelake.llm import exact_dedup, filters, fingerprints, line_dedup, simhash
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -49,18 +50,54 @@ def test_drop_exact_duplicates(request, name):
     assert Counter((-1 if i is None else i, norm(t)) for i, t in pairs(left)) == Counter((i, t) for t, i in best.items())
 
 
-def test_filter_size():
-    assert exact_dedup.filter_size(0) == (exact_dedup.MIN_BITS, 1)
-    bits, shards = exact_dedup.filter_size(10**12)
-    assert bits == exact_dedup.MAX_BITS and shards == exact_dedup.MAX_SHARDS
+def test_filters_grow_with_the_rows():
+    assert filters.size_log2(0) == filters.BUCKET_LOG2
+    for rows in (10**6, 10**9, 10**11):
+        assert rows <= 1 << filters.size_log2(rows) < 2 * rows
+        found = filters.Filter(None, filters.size_log2(rows))
+        assert found.shards << filters.WORDS_LOG2 >= rows
 
 
-def test_sharded_filters(docs, monkeypatch):
+@pytest.mark.parametrize("words_log2", [26, 12])
+@pytest.mark.parametrize("build", [filters.twice, filters.once_and_twice])
+def test_twice_seen(spark, monkeypatch, build, words_log2):
+    """No repeated hash is missed, few others are suspected, with one shard and with eight."""
+    monkeypatch.setattr(filters, "WORDS_LOG2", words_log2)
+    hashes = spark.range(20_000).select(F.xxhash64(F.col("id") % 19_000).alias("h"))
+    hashes = hashes.union(spark.range(3000).select(F.lit(-7).cast("long").alias("h"))).union(spark.sql("select cast(null as bigint) as h"))
+    found = build(hashes, hashes.count())
+    assert found.shards == (1 if words_log2 == 26 else 8)
+    got = filters.probe(hashes.where("h is not null"), found).collect()
+    times = Counter(r["h"] for r in got)
+    assert len(got) == 23_000 and all(r["suspect"] for r in got if times[r["h"]] > 1)
+    alone = [r["suspect"] for r in got if times[r["h"]] == 1]
+    assert sum(alone) < 0.05 * len(alone)
+
+
+def test_both_builds_agree(spark):
+    hashes = spark.range(5000).select(F.xxhash64(F.col("id") % 4000).alias("h"))
+    rows = lambda f: sorted((r["bucket"], r["words"]) for r in f.bitmap.collect())
+    assert rows(filters.twice(hashes, 5000)) == rows(filters.once_and_twice(hashes, 5000))
+
+
+def test_sharded_dedup(docs, monkeypatch):
+    """Results past the bound of one bitmap are the same."""
     expected = Counter(map(tuple, exact_dedup.exact_duplicates(docs).collect()))
-    monkeypatch.setattr(exact_dedup, "MAX_BITS", 1 << 8)
-    monkeypatch.setattr(exact_dedup, "MIN_BITS", 1 << 8)
-    monkeypatch.setattr(exact_dedup, "MAX_SHARDS", 4)
+    left = Counter(map(tuple, exact_dedup.drop_exact_duplicates(docs).collect()))
+    lines = Counter(map(tuple, line_dedup.repeated_lines(docs).collect()))
+    monkeypatch.setattr(filters, "WORDS_LOG2", 11)
+    monkeypatch.setattr(filters, "size_log2", lambda rows: 13)
+    assert filters.Filter(None, 13).shards == 4
     assert Counter(map(tuple, exact_dedup.exact_duplicates(docs).collect())) == expected
+    assert Counter(map(tuple, exact_dedup.drop_exact_duplicates(docs).collect())) == left
+    assert Counter(map(tuple, line_dedup.repeated_lines(docs).collect())) == lines
+
+
+def test_only_suspects_shuffle(docs):
+    """Rows that the filter clears reach the output without an exchange."""
+    plan = exact_dedup.drop_exact_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    clear = plan.split("Union")[1].split("SortAggregate")[0]
+    assert "BroadcastHashJoin" in clear and "Exchange hashpartitioning" not in clear.split(":-")[1]
 
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -132,10 +169,28 @@ def test_near_links_at_each_distance(spark):
     base = 0x0123456789ABCDEF
     fps = [(0, base), (1, base ^ 1), (2, base ^ 1 << 63 ^ 1 << 30 ^ 1), (3, base ^ 0b1111 << 40), (4, base ^ 0b111 << 20), (5, ~base & 2**64 - 1)]
     fps += [(10 + b, 0xF0F0F0F0F0F0F0F0 ^ 1 << b ^ 1 << (b + 21) % 64 ^ 1 << (b + 43) % 64) for b in range(0, 64, 9)] + [(9, 0xF0F0F0F0F0F0F0F0)]
-    frame = spark.createDataFrame([(i, f - 2**64 if f >= 2**63 else f) for i, f in fps], "node long, fp long")
+    signed = {i: f - 2**64 if f >= 2**63 else f for i, f in fps}
+    frame = spark.createDataFrame([(f,) for f in signed.values()], "fp long")
     found = {r["node"]: r["component"] for r in simhash.components(simhash.links(frame)).collect()}
+    root = {i: found.get(f, f) for i, f in signed.items()}
     expected = slow_components(sorted(fps))
-    assert {i: found.get(i, i) for i, _ in fps} == expected
+    assert {i: min(j for j in root if root[j] == root[i]) for i in root} == expected
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_keys_longer_than_a_batch(size):
+    """Runs of one key are whole, however batches cut them."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 6, 400))
+    fp = rng.integers(0, 1 << 9, 400)
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp)], ["key", "fp"])
+    batches = [whole.slice(at, size) for at in range(0, 400, size)]
+    got = {tuple(r.values()) for b in simhash._links(3)(iter(batches)) for r in b.to_pylist()}
+    expected = {tuple(r.values()) for b in simhash._links(3)(iter([whole])) for r in b.to_pylist()}
+    assert got == expected and all(0 < (u ^ v).bit_count() for u, v in got)
 
 
 def test_components_of_a_long_path(spark):
@@ -180,9 +235,27 @@ def test_canonical():
     assert fingerprints.canonical(None) == b""
 
 
-def test_fingerprints_have_no_collisions(odd):
-    got = {(r["doc_id"], r["fingerprint"]) for r in fingerprints.fingerprints(odd).collect()}
-    assert got == {(i, fingerprints.digest(fingerprints.canonical(t))) for i, t in pairs(odd)}
+@pytest.mark.parametrize("name", ["odd", "empty"])
+def test_fingerprints_have_no_collisions(request, name):
+    frame = request.getfixturevalue(name)
+    got = {(r["doc_id"], r["fingerprint"]) for r in fingerprints.fingerprints(frame).collect()}
+    assert got == {(i, fingerprints.digest(fingerprints.canonical(t))) for i, t in pairs(frame)}
+
+
+@pytest.mark.parametrize("kind", ["string", "date"])
+def test_ids_of_other_types(docs, kind):
+    """Ids that are not numbers; names with a dot."""
+    named = F.concat(F.lit("doc-"), F.col("doc_id")) if kind == "string" else F.date_add(F.lit("2020-01-01"), F.col("doc_id").cast("int"))
+    frame = docs.select(named.alias("the.id"), F.col("text").alias("the.text"))
+    order = sorted(((r[0], r[1]) for r in frame.collect()), reverse=True)
+    following = {i: order[(k + 1) % len(order)][1] for k, (i, _) in enumerate(order)}
+    for r in fingerprints.edit_comparison(frame, "the.id", "the.text").collect():
+        text = dict(order)[r["the.id"]]
+        assert r["edited_sha256"] == hashlib.sha256(fingerprints.edited(text, following[r["the.id"]]).encode()).hexdigest()
+    assert line_dedup.repeated_lines(frame, "the.id", "the.text").count() > 0
+    assert exact_dedup.drop_exact_duplicates(frame, "the.id", "the.text").count() < frame.count()
+    assert simhash.near_duplicates(frame, "the.id", "the.text").count() == frame.count()
+    assert simhash.drop_near_duplicates(frame, "the.id", "the.text").columns == frame.columns
 
 
 def test_colliding_rows_get_ordinals(spark):
@@ -190,14 +263,3 @@ def test_colliding_rows_get_ordinals(spark):
     rows = spark.createDataFrame([(1, "f"), (2, "f"), (3, "g")], "id long, fp string")
     other = spark.createDataFrame([(2, "f", 1)], "id long, fp string, ordinal int")
     assert {tuple(r) for r in fingerprints._with_ordinals(rows, other).collect()} == {(1, "f"), (2, "f-1"), (3, "g")}
-
-
-def test_line_filter_has_shards(docs, monkeypatch):
-    from cuelake.llm import exact_dedup, line_dedup
-
-    whole = sorted(map(tuple, line_dedup.repeated_lines(docs).collect()))
-    probed = []
-    monkeypatch.setattr(line_dedup, "probe", lambda *x: probed.append(x[2]) or exact_dedup.probe(*x))
-    monkeypatch.setattr(exact_dedup, "filter_size", lambda rows: (exact_dedup.MIN_BITS, 4))
-    assert sorted(map(tuple, line_dedup.repeated_lines(docs).collect())) == whole != []
-    assert len(probed) == 4

@@ -11,9 +11,10 @@ the variant; pairs that collide are verified on all 64 bits, so the result is
 exact.  Within a variant only a spanning forest of the verified links is
 emitted, never all pairs.
 
-Equal fingerprints are one class before any of this, and connected components
-run over classes by alternating large-star and small-star steps whose edges
-are written to the shared folder each round.
+Equal fingerprints are one class before any of this: a fingerprint is the node of
+all rows that have it, whatever the type of their ids.  Connected components run
+over classes by alternating large-star and small-star steps whose edges are written
+to the shared folder each round.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.tables import stored
+from cuelake.llm.tables import column, stored
 
 RADIUS, BLOCKS, SHINGLE, SEED = 3, 3, 3, 42
 _CHUNK = 1 << 14
+CLASSES_PER_TASK, VARIANTS_PER_TASK = 1 << 18, 1 << 25
 _PAIR_CELLS = 1 << 22
 
 
@@ -65,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -89,71 +91,77 @@ def variant_masks(blocks: int = BLOCKS) -> list[tuple[int, list[int]]]:
 
 
 def variants(classes: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """(key, fp, node) for every variant of every class."""
+    """(key, fp) for every variant of every class (fp)."""
     keys = [F.col("fp").bitwiseAND(F.lit(keep)).bitwiseXOR(F.lit(p)) for keep, flips in variant_masks(blocks) for p in flips]
-    return classes.select(F.explode(F.array(*keys)).alias("key"), "fp", "node")
+    return classes.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))
 
 
-def _forest(fp: np.ndarray, node: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among one variant's fingerprints."""
-    n, left, out = len(fp), np.arange(len(fp)), []
+def _forest(fp: np.ndarray, radius: int) -> list[np.ndarray]:
+    """Spanning forest of the links among one variant's fingerprints, as rows (root, member)."""
+    left, out = np.sort(fp), []
     while left.size:
-        front, left = left[:1], left[1:]
-        root = int(node[front[0]])
+        root, front, left = left[0], left[:1], left[1:]
         while front.size and left.size:
             hit = np.zeros(left.size, bool)
             step = max(1, _PAIR_CELLS // left.size)
             for at in range(0, front.size, step):
-                hit |= (_popcount(fp[front[at : at + step], None] ^ fp[None, left]) <= radius).any(axis=0)
+                hit |= (_popcount(front[at : at + step, None] ^ left[None]) <= radius).any(axis=0)
             front, left = left[hit], left[~hit]
-            out += [(root, int(x)) for x in node[front]]
-    assert len(out) < max(n, 1)
+            out.append(np.stack((np.full(front.size, root), front), axis=1))
     return out
 
 
 def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []  # the last key's rows, which may go on
         for b in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            last = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0
-            rest = [c[last:] for c in cols]
+            if not len(cols[0]):
+                continue
+            if held and held[-1][0][0] == cols[0][-1]:  # a key longer than a batch: join its parts once
+                held.append(cols)
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, cols, strict=True)]
+            last = np.searchsorted(cols[0], cols[0][-1])
+            held = [[c[last:] for c in cols]]
             yield from _linked([c[:last] for c in cols], radius)
-        if rest is not None:
-            yield from _linked(rest, radius)
+        if held:
+            yield from _linked([np.concatenate(x) for x in zip(*held, strict=True)], radius)
 
     return run
 
 
 def _linked(cols: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
     """Links of complete, sorted runs of keys."""
-    key, fp, node = cols
+    key, fp = cols
     if len(key) < 2:
         return
     begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.concatenate((begins, [len(key)])))
     two = begins[sizes == 2]
     near = two[_popcount(fp[two] ^ fp[two + 1]) <= radius]
-    pairs = [np.stack((node[near], node[near + 1]), axis=1)]
+    pairs = [np.stack((fp[near], fp[near + 1]), axis=1)]
     for at, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        found = _forest(fp[at : at + n], node[at : at + n], radius)
-        if found:
-            pairs.append(np.array(found, np.int64))
-    e = np.concatenate(pairs)
-    e = np.unique(np.sort(e, axis=1), axis=0)
+        pairs += _forest(fp[at : at + n], radius)
+    e = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
     if len(e):
         yield pa.RecordBatch.from_arrays([pa.array(e[:, 1]), pa.array(e[:, 0])], ["u", "v"])
 
 
 def links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(u, v), u > v: links between classes that connect what is in reach."""
-    dealt = variants(classes, blocks).repartition("key").sortWithinPartitions("key")
+    """(u, v), u > v: links between fingerprints (fp, each once) that connect what is in reach.
+
+    The numbers of tasks follow the number of classes: variants are many times
+    larger than what they come from.
+    """
+    parts, n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), classes.count()
+    spread = classes.select("fp").repartition(max(parts, n // CLASSES_PER_TASK), "fp")
+    tasks = max(parts, n * 2 * 64 // VARIANTS_PER_TASK)
+    dealt = variants(spread, blocks).repartition(tasks, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(_links(radius), "u long, v long").distinct()
 
 
@@ -193,12 +201,14 @@ def near_duplicates(
     rows and ids stay as they are.  Empty input gives an empty frame.
     """
     fps = stored(fingerprints(docs, id_col, text_col, words), "fps")
-    classes = stored(fps.groupBy("fp").agg(F.min("id").alias("node")), "classes")
-    found = components(links(classes.where("node is not null"), radius))
-    named = stored(
-        classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component")), "named"
+    classes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    found = components(links(classes.where("least is not null"), radius))
+    roots = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("root"), "least"
     )
-    return fps.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    roots = stored(roots, "roots")
+    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
+    return fps.join(stored(named, "named"), "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,5 +218,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     null id stay.
     """
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = found.where(column(id_col) != F.col("component")).select(column(id_col).alias("_gone")).distinct()
+    return docs.join(gone, docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")

@@ -24,7 +24,8 @@ from unicodedata import normalize
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from cuelake.llm.tables import column
 
 MAX_CACHED, MAX_PAIRS, MAX_STATES = 400_000, 800_000, 150_000
 LONGEST_CACHED = 64
@@ -326,7 +327,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays(cols, ["id", "ids", "decoded"][: len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+    out = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).mapInArrow(
         run, f"id {kind}, ids binary" + ", decoded string" * decoded
     )
     return out.withColumnRenamed("id", id_col)

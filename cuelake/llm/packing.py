@@ -15,6 +15,7 @@ segment), and for each segment its document and offset there, from which
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,12 +30,46 @@ ROW_TOKENS, GROUP_TOKENS, PAD = 2048, 1 << 20, 0
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+# Fixed value: what the pattern above calls white space.
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_SPACE = re.compile(f"[{SPACES}]{{512,}}")
+
+
+class Coder:
+    """A byte-level vocabulary.
+
+    The pattern's look-ahead takes stack in proportion to a run of white space, so
+    long runs are cut out by the rule it stands for: a run is one piece without
+    its last character, which belongs to what follows; at the end of a text the
+    whole run is one piece.
+    """
+
+    def __init__(self, path: str) -> None:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self._pieces = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self._whole = tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a whole text."""
+        out: list[int] = []
+        at = 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self._pieces.encode_ordinary(text[at : run.start()])
+            out += self._whole.encode_ordinary(text[run.start() : end])
+            at = end
+        return out + self._pieces.encode_ordinary(text[at:])
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of whole ids."""
+        return self._pieces.decode(ids)
+
+
 @cache
-def loaded(path: str) -> tiktoken.Encoding:
-    """The byte-level vocabulary of a file of ranks; one per worker process."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+def loaded(path: str) -> Coder:
+    """The vocabulary of a file of ranks; one per worker process."""
+    return Coder(path)
 
 
 class FreeSpace:
@@ -104,6 +139,15 @@ def _packed(group: list[tuple], capacity: int, task: int, at: int) -> list[dict]
     return out
 
 
+def write_packed(packed: DataFrame, path: str) -> None:
+    """Store packed rows as Parquet at ``path``, which must not exist: a file per task, committed when its task ends.
+
+    ``ids`` and ``positions`` are rows of fixed width in stored order: a reader maps a
+    file's column to a matrix of ``row_tokens`` columns without any parsing.
+    """
+    packed.write.option("parquet.enable.dictionary", "false").parquet(path)
+
+
 def pack(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", row_tokens: int = ROW_TOKENS
 ) -> DataFrame:
@@ -135,7 +179,7 @@ def pack(
                 ]
             )
             for key, text in zip(b.column(0), b.column(1), strict=True):
-                ids = np.array(coder.encode_ordinary(text.as_py() or ""), "<u4")
+                ids = np.array(coder.encode(text.as_py() or ""), "<u4")
                 group += [(key.as_py(), o, ids[o : o + row_tokens]) for o in range(0, len(ids), row_tokens)]
                 tokens += len(ids)
                 if tokens >= GROUP_TOKENS:

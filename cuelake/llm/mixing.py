@@ -5,17 +5,19 @@ flows down from the root: at each node it is shared among the children by
 weight, but no child gets more than its capacity (``max_epochs`` times the
 tokens below it).  What a full child cannot take goes to its siblings by weight;
 only when all of them are full does it reach the next ancestor, because a node's
-own share is bounded by the sum of its children's capacities.  All amounts are
-integers, so every engine gets the same numbers.
+own share is bounded by the sum of its children's capacities.  A node of weight 0
+is left out with all below it.  All amounts are integers, so every engine gets the
+same numbers.
 
 Each leaf then reads its documents in seeded epochs: whole epochs first, then a
 prefix of one more epoch, in the order of SHA-256(seed:epoch:id), as long as the
 running total of tokens fits the leaf's budget.
 
-The running total is never taken over a whole leaf in one task: documents fall
-into ranges of the order key, ranges are summed with map-side combining, and
-only the one range in which a leaf's budget ends is ordered document by
-document.
+Where that prefix ends is found on a narrow table of ids and token counts, never
+over a whole leaf in one task: documents fall into ranges of the order key, ranges
+are summed with map-side combining, and only the one range in which a leaf's
+budget ends is ordered document by document.  Every row then decides by itself,
+from its leaf's plan and its own key: texts are read twice and never shuffled.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.tables import stored, whole
+from cuelake.llm.tables import column, stored, whole
 
 LEVELS = ("domain", "lang", "source")
-ROWS_PER_RANGE, MAX_RANGES = 2048, 1 << 16
+ROWS_PER_RANGE = 2048
 
 
 def word_count(text: Column) -> Column:
@@ -80,9 +82,16 @@ def leaf_budgets(
 ) -> DataFrame:
     """(domain, lang, source, tokens, budget) from (domain, lang, source, tokens).
 
-    ``weights``: per level the weight of a name, 1 when it is not listed.  The
-    budget is so many thousandths of all tokens, or all capacity if that is less.
+    ``weights``: per level the weight of a name, 1 when it is not listed, 0 to leave
+    it out; negative weights raise.  The budget is so many thousandths of the tokens
+    of the leaves that take part, or all their capacity if that is less.  Leaves left
+    out have no row.
     """
+    for level, named in weights.items():
+        if level not in LEVELS or any(w < 0 for w in named.values()):
+            raise ValueError(f"weights of {level}: a level of {LEVELS} and no negative weight")
+    for level in LEVELS:
+        leaves = leaves.where(_weight(level, weights.get(level, {})) > 0)
     caps = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
     root = caps.agg(F.sum("tokens").alias("t"), F.sum("capacity").alias("c")).select(
         F.lit("root").alias("root"), F.expr(f"least((t * {budget_permille}L) div 1000L, c)").alias("budget")
@@ -119,16 +128,15 @@ def mix(
     ''.  Rows that repeat an id share an order key and are taken or left
     together.  An empty table gives an empty frame.
     """
-    spark = docs.sparkSession
     carry = tuple(docs.columns) if carry is None else carry
-    domain = source_domain(F.col(f"`{source_col}`")) if domain is None else domain
+    domain = source_domain(column(source_col)) if domain is None else domain
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in carry)).alias("r"),
-        whole(F.col(f"`{id_col}`").cast("string")).alias("id"),
+        F.struct(*(column(c) for c in carry)).alias("r"),
+        whole(column(id_col).cast("string")).alias("id"),
         domain.alias("domain"),
-        whole(F.col(f"`{lang_col}`")).alias("lang"),
-        whole(F.col(f"`{source_col}`")).alias("source"),
-        word_count(F.col(f"`{text_col}`")).alias("tokens"),
+        whole(column(lang_col)).alias("lang"),
+        whole(column(source_col)).alias("source"),
+        word_count(column(text_col)).alias("tokens"),
     )
     slim = stored(rows.select("id", *LEVELS, "tokens").where("tokens > 0"), "slim")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
@@ -138,20 +146,16 @@ def mix(
         ),
         "plan",
     )
-    ranges = 1
-    n = slim.count()
-    while ranges < MAX_RANGES and ranges * ROWS_PER_RANGE < n:
-        ranges *= 2
+    ranges = 1 << (max(1, slim.count() // ROWS_PER_RANGE) - 1).bit_length()
 
-    def ordered(frame: DataFrame) -> DataFrame:
+    def ranged(frame: DataFrame) -> DataFrame:
         key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("epochs").cast("string"), F.lit(":"), F.col("id")), 256)
         first = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-        return frame.withColumn("key", key).withColumn("range", F.expr("0L") + F.floor(first * ranges / (1 << 32)))
+        return frame.withColumn("key", key).withColumn("range", F.floor(first * ranges / (1 << 32)))
 
     # The rest of a leaf ends in the first range at which the running total exceeds it.
-    sums = ordered(slim.join(plan.where("rest > 0"), list(LEVELS))).groupBy(*LEVELS, "range").agg(
-        F.sum("tokens").alias("in_range"), F.first("rest").alias("rest")
-    )
+    parted = ranged(slim.join(plan.where("rest > 0"), list(LEVELS)))
+    sums = parted.groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("in_range"), F.first("rest").alias("rest"))
     run = Window.partitionBy(*LEVELS).orderBy("range")
     ends = (
         sums.withColumn("upto", F.sum("in_range").over(run))
@@ -159,27 +163,13 @@ def mix(
         .groupBy(*LEVELS)
         .agg(F.min(F.struct("range", (F.col("upto") - F.col("in_range")).alias("before"))).alias("end"))
     )
-    plan = stored(plan.join(ends, list(LEVELS), "left").select(*LEVELS, "epochs", "rest", "end"), "plan")
-
-    met = rows.where("tokens > 0").join(plan, list(LEVELS))
-    out = ["r", *LEVELS, "tokens", "epoch"]
-    keyed = ordered(met)
-    # Whole epochs, and the last epoch's ranges before the one that holds the end.
-    last = F.when((F.col("rest") > 0) & (F.col("range") < F.col("end.range")), F.col("epochs")).otherwise(
-        F.col("epochs") - 1
-    )
-    sure = (
-        keyed.withColumn("last", last)
-        .where("last >= 0")
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-        .select(*out)
-    )
-    running = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("key"))
-    edge = (
-        keyed.where((F.col("rest") > 0) & (F.col("range") == F.col("end.range")))
-        .withColumn("running", F.col("end.before") + running)
-        .where("running <= rest")
-        .withColumn("epoch", F.col("epochs"))
-        .select(*out)
-    )
-    return sure.union(edge)
+    ends = stored(ends.select(*LEVELS, F.col("end.range").alias("end"), F.col("end.before").alias("before")), "ends")
+    running = F.col("before") + F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("key"))
+    edge = parted.join(ends, list(LEVELS)).where("range = end").withColumn("running", running).where("running <= rest")
+    cuts = edge.groupBy(*LEVELS).agg(F.max("key").alias("cut"))
+    plan = plan.join(ends, list(LEVELS), "left").join(cuts, list(LEVELS), "left").select(*LEVELS, "epochs", "end", "cut")
+    met = ranged(rows.where("tokens > 0").join(stored(plan, "plan"), list(LEVELS)))
+    more = F.coalesce((F.col("range") < F.col("end")) | ((F.col("range") == F.col("end")) & (F.col("key") <= F.col("cut"))), F.lit(False))
+    times = F.col("epochs") + more.cast("long")
+    epoch = F.explode(F.sequence(F.lit(0).cast("long"), times - 1))
+    return met.where(times > 0).withColumn("epoch", epoch).select("r", *LEVELS, "tokens", "epoch")

@@ -53,8 +53,18 @@ def words(t):
     return len((t or "").encode().split())
 
 
-@pytest.mark.parametrize(("name", "permille", "epochs"), [("docs", 1000, 2), ("docs", 300, 1), ("docs", 5000, 3), ("odd", 1000, 2), ("empty", 1000, 2)])
-def test_mix(request, name, permille, epochs):
+ZERO = {"domain": {"d0": 4, "d1": 0}, "lang": {"en": 3, "fr": 0}, "source": {"src1": 5, "src2": 0}}
+ALL_ZERO = {"lang": {"": 0, "en": 0, "de": 0, "fr": 0, "es": 0}}
+
+
+@pytest.mark.parametrize(
+    ("name", "permille", "epochs", "weights"),
+    [
+        ("docs", 1000, 2, WEIGHTS), ("docs", 300, 1, WEIGHTS), ("docs", 5000, 3, WEIGHTS), ("odd", 1000, 2, WEIGHTS), ("empty", 1000, 2, WEIGHTS),
+        ("docs", 1000, 2, ZERO), ("odd", 1000, 2, ZERO), ("docs", 1000, 2, ALL_ZERO),
+    ],
+)
+def test_mix(request, name, permille, epochs, weights):
     frame = request.getfixturevalue(name)
     rows = [(r["doc_id"], r["text"], r["lang"] or "", r["source"] or "") for r in frame.collect()]
     leaf = lambda lang, s: (f"d{int('0' + ''.join(c for c in s if c.isdigit())) % 4}", lang, s)
@@ -62,11 +72,14 @@ def test_mix(request, name, permille, epochs):
     for i, t, lang, s in rows:
         if words(t):
             tokens[leaf(lang, s)].append(("" if i is None else str(i), words(t)))
+    for k in list(tokens):  # weight 0 leaves out
+        if not all(weights.get(level, {}).get(name, 1) for level, name in zip(mixing.LEVELS, k, strict=True)):
+            del tokens[k]
     total = sum(n for v in tokens.values() for _, n in v)
     caps = {k: epochs * sum(n for _, n in v) for k, v in tokens.items()}
     expected = Counter()
     if tokens:
-        budgets = slow_budgets(caps, WEIGHTS, min(total * permille // 1000, sum(caps.values())))
+        budgets = slow_budgets(caps, weights, min(total * permille // 1000, sum(caps.values())))
         for k, v in tokens.items():
             size = sum(n for _, n in v)
             whole, rest = divmod(budgets[k], size)
@@ -75,11 +88,17 @@ def test_mix(request, name, permille, epochs):
                 upto = sum(m for j, m in v if key(j) <= key(i))
                 for e in range(whole + (rest > 0 and upto <= rest)):
                     expected[i, k, n, e] += 1
-    got = mixing.mix(frame, WEIGHTS, seed=3, budget_permille=permille, max_epochs=epochs).collect()
+    got = mixing.mix(frame, weights, seed=3, budget_permille=permille, max_epochs=epochs).collect()
     found = Counter(("" if r["r"]["doc_id"] is None else str(r["r"]["doc_id"]), (r["domain"], r["lang"], r["source"]), r["tokens"], r["epoch"]) for r in got)
     assert found == expected
 
 
+@pytest.mark.parametrize("weights", [{"domain": {"d0": -1}}, {"country": {"x": 1}}])
+def test_wrong_weights_raise(docs, weights):
+    with pytest.raises(ValueError, match="weights of"):
+        mixing.mix(docs, weights)
+
+
 def test_mix_over_many_ranges(docs, monkeypatch):
     expected = Counter((r["r"]["doc_id"], r["epoch"]) for r in mixing.mix(docs, WEIGHTS, seed=3).collect())
     monkeypatch.setattr(mixing, "ROWS_PER_RANGE", 4)

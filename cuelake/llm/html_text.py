@@ -1,17 +1,20 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
-A page becomes a flat list of text blocks.  Features of a block: word count and
-link density of itself and of the blocks before and after it, whether it lies
-in an article or main container, and whether a container around it is
-boilerplate by its element or its class names.  An article opens a main container
-unless it lies in, or is, a teaser or comment; names of the whole page count for
-nothing.  The tree is trained when first
-used, on the hand-labelled blocks of ``LABELLED``.
+A page becomes a flat list of text blocks in one linear pass.  Features of a block:
+word count and link density of itself and of the blocks before and after it, and
+three marks of the containers around it: an article or main container; a name or
+element of boilerplate; a container of teasers, comments or the like.  An article
+opens a main container unless it lies in, or is, such a teaser or comment.  Names of
+the whole page, names of its layout ("has-sidebar") and marks on more than half of
+the page's words count for nothing, so that word count and link density carry a page
+whose names mislead.  The tree is trained when first used, on the hand-labelled
+blocks of ``LABELLED``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -22,13 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|svg|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)?))?")
+#: Elements whose content is no text of the page, up to their end tag.
+RAW = frozenset("script style noscript template textarea select iframe svg object title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split()
@@ -44,6 +44,8 @@ NOISE_NAMES = re.compile(
     r"recommend\w*|widget\w*|breadcrumbs?|pagination|tags|login|signup|search)(?:$|[\s_-])",
     re.I,
 )
+#: Names that say what a container has beside it or how it is laid out, not what it is.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:(?:has|with|without|no|is|layout)[_-]\S+|\S+[_-](?:left|right|fixed|open|closed|on|off|enabled|disabled|free))(?=\s|$)", re.I)
 #: Containers that an article in them does not turn into the page's article: teasers and readers' comments.
 FIRM_TAGS = frozenset("aside nav footer".split())
 FIRM_NAMES = re.compile(
@@ -52,7 +54,8 @@ FIRM_NAMES = re.compile(
     re.I,
 )
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|body-?text|content)(?:$|[\s_-])", re.I)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A mark of boilerplate counts for nothing when the container holds more than this share of the page's words.
+MOST_OF_PAGE = 0.5
 
 
 @dataclass
@@ -63,7 +66,8 @@ class Block:
     linked: int = 0
     main: bool = False
     noise: bool = False
-    label: bool = False
+    firm: bool = False
+    void: bool = False
 
     def close(self) -> None:
         self.words = "".join(self.parts).split()
@@ -74,74 +78,167 @@ class Block:
         return min(1.0, self.linked / max(1, len(self.words)))
 
 
+def _tag_end(html: str, at: int) -> tuple[int, list[tuple[str, str]], bool]:
+    """(position after a tag, attributes, closed by a slash) from the position after the tag's name.
+
+    Attributes follow the rules of HTML: a quote inside an unquoted value is part of
+    it, a sign of a tag inside a quoted one is not its end.  A quote that nothing
+    closes ends with the tag at the next ``>``.  A tag that never ends is -1.
+    """
+    found: list[tuple[str, str]] = []
+    while m := ATTRIBUTE.match(html, at):
+        if html.startswith(("'", '"'), m.end()) and html[m.start() : m.end()].rstrip().endswith("="):
+            at = html.find(">", m.end())  # an open quote
+            return (at + 1 if at >= 0 else -1), found, False
+        found.append((m[1].lower(), m[2] or m[3] or m[4] or ""))
+        at = m.end()
+    end = html.find(">", at)
+    return (end + 1 if end >= 0 else -1), found, html[at:end].endswith("/") if end >= 0 else False
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, list[tuple[str, str]]]]:
+    """('text', text, []), ('open', element, attributes) and ('close', element, []) in page order.
+
+    One pass; every character is looked at a bounded number of times.  Comments,
+    declarations and the content of ``RAW`` elements are left out, an open one up
+    to the end of the page; such an element comes as a space.
+    """
+    at, size = 0, len(html)
+    while at < size:
+        sign = html.find("<", at)
+        if sign < 0:
+            yield "text", html[at:], []
+            return
+        after = html[sign + 1 : sign + 2]
+        name = TAG_NAME.match(html, sign + 1 + (after == "/"))
+        if not name and after not in ("!", "?", "/"):
+            yield "text", html[at : sign + 1], []
+            at = sign + 1
+            continue
+        if sign > at:
+            yield "text", html[at:sign], []
+        if html.startswith("<!--", sign):
+            at = html.find("-->", sign + 4)
+            at = at + 3 if at >= 0 else size
+        elif not name:
+            at = html.find(">", sign)
+            at = at + 1 if at >= 0 else size
+        else:
+            tag = name[0].lower()
+            at, attributes, slash = _tag_end(html, name.end())
+            if at < 0:  # the tag never ends: nothing of it is text
+                return
+            if after == "/":
+                yield "close", tag, []
+            elif tag in RAW:
+                if not (slash and tag == "svg"):
+                    end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                    at = html.find(">", end.end()) + 1 if end else size
+                    at = at or size
+                yield "text", " ", []
+            else:
+                yield "open", tag, attributes
+                if slash and tag in CONTAINERS:
+                    yield "close", tag, []
+
+
+@dataclass
+class Container:
+    """An open element: in main; boilerplate that a name or element says, and such that stays; the blocks and marks inside."""
+
+    tag: str
+    main: bool
+    noise: bool
+    firm: bool
+    marked: bool = False
+    first: int = 0
+    words: int = 0
+
+
 def blocks(html: str) -> list[Block]:
     """The flat text blocks of a page, in page order; never raises on broken markup."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open containers: element, in main, in noise, in noise to stay
-    now, links, at = Block(), 0, 0
-
-    def text(raw: str) -> None:
-        if raw:
-            plain = unescape(raw) if "&" in raw else raw
-            now.parts.append(plain)
-            if links:
-                now.linked += len(plain.split())
+    stack: list[Container] = []
+    marks: list[tuple[int, int, int]] = []  # marked containers: blocks from, to, their words
+    opened: Counter[str] = Counter()
+    now, links, total = Block(), 0, 0
 
     def cut() -> None:
-        nonlocal now
+        nonlocal now, total
         now.close()
         if now.words:
+            total += len(now.words)
             out.append(now)
-        now = Block(main=bool(stack and stack[-1][1]), noise=bool(stack and stack[-1][2]))
-
-    for m in MARKUP.finditer(html):
-        text(html[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            if m["raw"]:
-                now.parts.append(" ")
-            continue
-        if tag == "a":
-            links = 0 if m["close"] else 1
+        top = stack[-1] if stack else None
+        now = Block(main=bool(top and top.main), noise=bool(top and top.noise), firm=bool(top and top.firm))
+
+    def leave(depth: int) -> None:
+        for c in stack[depth:]:
+            opened[c.tag] -= 1
+            if c.marked:
+                marks.append((c.first, len(out), total - c.words))
+        del stack[depth:]
+
+    for kind, value, attributes in tokens(html):
+        if kind == "text":
+            plain = unescape(value) if "&" in value else value
+            now.parts.append(plain)
+            if links:
+                now.linked += len(plain.split())
             continue
-        if tag in INLINE:
+        if value == "a":
+            links = int(kind == "open")
+        if value in INLINE:
             continue
-        if tag in SPACED:
+        if value in SPACED:
             now.parts.append(" ")
             continue
         links = 0
-        if tag in CONTAINERS or tag in NOISE_TAGS:
-            if m["close"]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-            elif not m["attrs"].endswith("/"):
-                main, noise, firm = stack[-1][1:] if stack else (False, False, False)
-                # the names of the whole page say what is on it, not what it is
-                names = "" if tag in ("html", "body") else " ".join(a or b or c for a, b, c in NAMES.findall(m["attrs"]))
-                article = tag in ("article", "main")
-                firm = tag != "main" and (firm or tag in FIRM_TAGS or bool(names and FIRM_NAMES.search(names)))
-                bad = tag in NOISE_TAGS or (tag == "header" and not main) or bool(names and not article and NOISE_NAMES.search(names))
-                good = not firm and (article or bool(names and not bad and MAIN_NAMES.search(names)))
-                stack.append((tag, main or good, (noise or bad or firm) and not (good and not main), firm))
         cut()
-    text(html[at:])
+        if value not in CONTAINERS and value not in NOISE_TAGS:
+            continue
+        if kind == "close":
+            if opened[value]:
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == value))
+        else:
+            opened[value] += 1
+            stack.append(_container(value, attributes, stack[-1] if stack else None))
+            stack[-1].first, stack[-1].words = len(out), total
+        top = stack[-1] if stack else None
+        now.main, now.noise, now.firm = bool(top and top.main), bool(top and top.noise), bool(top and top.firm)
     cut()
+    leave(0)
+    for first, last, words in marks:
+        if words > MOST_OF_PAGE * total:
+            for b in out[first:last]:
+                b.void = True
+    for b in out:
+        b.noise = b.noise and not b.void and not b.firm
     return out
 
 
+def _container(tag: str, attributes: list[tuple[str, str]], outer: Container | None) -> Container:
+    main, noise, firm = (outer.main, outer.noise, outer.firm) if outer else (False, False, False)
+    # the names of the whole page say what is on it, not what it is
+    names = "" if tag in ("html", "body") else " ".join(v for k, v in attributes if k in ("class", "id", "role"))
+    names = LAYOUT.sub(" ", names)
+    article = tag in ("article", "main")
+    firm = tag != "main" and (firm or tag in FIRM_TAGS or bool(FIRM_NAMES.search(names)))
+    marked = tag in NOISE_TAGS or (tag == "header" and not main) or (not article and bool(NOISE_NAMES.search(names)))
+    good = not firm and (article or (not marked and bool(MAIN_NAMES.search(names))))
+    return Container(tag, main or good, (noise or marked or firm) and not (good and not main), firm, marked and not firm)
+
+
 def features(found: list[Block]) -> np.ndarray:
-    """One row per block: words and link density before, here, after; in main; in noise."""
+    """One row per block: words and link density before, here, after; in main; in noise; in noise that stays."""
     n = len(found)
-    x = np.zeros((n, 8))
+    x = np.zeros((n, 9))
     if n:
         words = np.array([0, *(len(b.words) for b in found), 0], float)
         dense = np.array([0, *(b.density for b in found), 0], float)
         for k in range(3):
             x[:, 2 * k], x[:, 2 * k + 1] = words[k : n + k], dense[k : n + k]
-        x[:, 6], x[:, 7] = [b.main for b in found], [b.noise for b in found]
+        x[:, 6], x[:, 7], x[:, 8] = [b.main for b in found], [b.noise for b in found], [b.firm for b in found]
     return x
 
 
@@ -190,6 +287,18 @@ LABELLED = [
         (1, f"<div><p>{LONG}{LONG}</p>"), (1, f"<p>{LONG}</p>"), (1, "<p>some words in the middle</p>"), (1, f"<p>{LONG}</p></div>"),
         (0, "<p><a href=x>next</a> <a href=x>page</a></p>"), (0, "<p><a href=x>terms of use</a></p></body>"),
     ),
+    _page((1, "<article><h1>a title</h1>"), (1, f"<p>{LONG}</p>"), (1, "<p>the end</p></article>")),
+    _page((0, "<nav><a href=x>home</a></nav>"), (1, f"<main><p>{LONG}</p>"), (1, f"<p>{LONG}{LONG}</p></main>")),
+    _page((1, f"<p>{LONG}</p>")),
+    _page((1, "<article><p>a few words only</p></article>")),
+    _page((1, f"<div><p>{LONG}</p>"), (1, f"<p>{LONG}{LONG}</p></div>")),
+    _page((0, "<p><a href=x>one</a> <a href=x>two</a></p>"), (1, "<div><h2>a heading here</h2>"), (1, f"<p>{LONG}</p>"), (1, "<p>the end of it</p></div>")),
+    _page(
+        (0, "<div class=notice><p>we use cookies to make this better for all of you who read it here</p></div>"),
+        (1, f"<div class='widget-box'><p>{LONG}{LONG}</p>"), (1, f"<p>{LONG}{LONG}</p>"), (1, f"<p>{LONG}{LONG}{LONG}</p></div>"),
+        (0, f"<div class=comments><p>{LONG}{LONG}</p>"), (0, f"<p>{LONG}{LONG}{LONG}{LONG}</p>"), (0, f"<p>{LONG}{LONG}{LONG}{LONG}</p></div>"),
+        (0, "<div class=newsletter><p>sign up for our letter and get the best of it each week by mail</p>"), (0, "<p>no thanks</p></div>"),
+    ),
 ]
 
 

@@ -247,3 +247,53 @@ def test_comments_teasers_and_page_names():
     for names in ("", " class=has-sidebar", " id=menu class='post content'"):
         page = f"<body{names}><p><a href=x>one</a></p><p><a href=x>two more</a></p><div>{bare}</div><p><a href=x>terms</a></p></body>"
         assert html_text.main_text(page) == (para * 13).strip()
+
+
+PARA = "several plain words that make a paragraph of the article which goes on until it has about forty words in it, so that nobody could take it for a line of a menu or for the few words below a picture, and then it ends. "
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='post-template header-fixed sidebar-right'>{0}</body>", "<div class='post has-sidebar'>{0}</div>", "<div class='layout-menu'>{0}</div>",
+        "<div class='header'>{0}</div>", "<div class='widget'><div class=menu-x>{0}</div></div>", "<article>{0}", "<nav><a href=x>home</a></nav><main>{0}</main>",
+        "{0}<footer>all rights reserved</footer>", "<header class='site-header'>name</header><div class='no-sidebar'>{0}</div><nav><a href=x>next</a></nav>",
+    ],
+)
+def test_theme_names_do_not_lose_the_article(page):
+    assert html_text.main_text(page.format(f"<p>{PARA}</p><p>{PARA}</p>")) == (PARA * 2).strip()
+
+
+def test_attributes_by_the_rules():
+    story = f"{PARA}</p><p>{PARA}</p>"
+    for tag in ("<p title=it's>", "<p class=\"x>", "<p class='x>", '<p title="a > b">', "<p title='a > b' x>", "<p a=b/>", "<p a = b>", '<p "x">', "<p a=>", "<p =a>", "<p\na\n=\n'b'\n>"):
+        assert html_text.main_text(f"<article>{tag}{story}</article>") == (PARA * 2).strip(), tag
+    kinds = [(k, v, a) for k, v, a in html_text.tokens("<A HREF='x' b=it's c>t</a ><svg/>u<script>if (a</b) x</script >v<!-- w --><?pi?>x</>y")]
+    assert kinds == [
+        ("open", "a", [("href", "x"), ("b", "it's"), ("c", "")]), ("text", "t", []), ("close", "a", []), ("text", " ", []), ("text", "u", []),
+        ("text", " ", []), ("text", "v", []), ("text", "x", []), ("text", "y", []),
+    ]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<p " * 100_000, "<p a='" * 100_000, '<p a="' * 99_999, "<" * 200_000, "<!--" * 100_000, "<script>" * 100_000, "<svg/>" * 50_000, "</" * 100_000,
+     "<p a" + " " * 1_000_000 + ">x", "<p " + "= " * 100_000, "<div>" * 50_000 + "</nav>" * 50_000, "<div><nav>" * 30_000 + "</div>" * 30_000, "&" * 200_000],
+)
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 10
+
+
+def test_pages_of_all_kinds(spark):
+    """Empty table, repeated rows, null keys and very long pages."""
+    schema = "page_id long, url string, html string, r string, text string"
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+    page = "<nav><a href=x>home</a></nav><article>" + f"<p>{PARA}</p>" * 5000 + "</article>"
+    rows = [(1, "u", page, "r", "t"), (1, "u", page, "r", "t"), (None, None, None, None, None), (None, "v", "<p>", "r", None)]
+    got = html_text.extract(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r["text"] for r in got) == ["", "", (PARA * 5000).strip(), (PARA * 5000).strip()]
+    assert all(r["n_chars"] == len(r["text"]) for r in got)

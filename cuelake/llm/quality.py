@@ -1,17 +1,20 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed unigrams and bigrams: one of target text
-(labelled as good and not toxic), one of the raw corpus.  A document's score is
-the mean of log(p_target / p_raw) over its n-grams times ``LENGTH``: the log
-importance weight of a text of that many n-grams, so that long and short
-documents compare.  The sample of size k without replacement in proportion to
-exp(score) is the top k of score plus Gumbel noise.  The noise comes from a hash
-of seed and id, so a lost task redraws the same.
+(labelled as good and not toxic), one of the raw corpus.  A document's score is the
+log of its importance weight, the sum of log(p_target / p_raw) - neutral over its
+n-grams.  ``neutral`` is a parameter: 0 gives the plain ratio of the two models; the
+default is the ratio of a text that is as much good as bad, fitted on the labels.
+Target text is a part of the raw corpus, so the plain ratio of good text is close to
+nothing and of either sign, and a long text's rank would follow its length.
+The sample of size k without replacement in proportion to these weights is the
+top k of score plus Gumbel noise.  The noise comes from a hash of seed and id, so
+a lost task redraws the same.
 
 The raw model counts every n-gram of every document.  The target model and the
-threshold are fitted on at most ``MAX_LABELS`` labelled documents.  k is the
-number of documents of the whole corpus whose mean log ratio reaches the
-threshold, so it follows the share of good text, whatever that share is.
+threshold are fitted on at most ``MAX_LABELS`` labelled documents.  k is a
+parameter; without one it is the number of documents of the whole corpus whose mean
+log ratio reaches the fitted threshold, so it follows the share of good text.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm import ngrams
@@ -32,8 +35,7 @@ from cuelake.llm.tables import stored
 BINS = 1 << 16
 MAX_LABELS = 20_000
 SMOOTHING = 0.5
-LENGTH = 256
-QUANTILE_ERROR = 1e-4
+QUANTILE_ERROR, RANKED = 1e-3, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -43,16 +45,18 @@ class Model:
     ratio: np.ndarray
     threshold: float
     seed: int
+    neutral: float | None = None
 
-    def weigh(self, text: str | None) -> float:
-        """The mean log ratio of a text's n-grams; 0 when it has none."""
+    def weigh(self, text: str | None) -> tuple[float, float]:
+        """(score, mean log ratio) of a text; 0 when it has no n-gram."""
+        neutral = self.threshold if self.neutral is None else self.neutral
         total, n = 0.0, 0
         tokens = ngrams.token_hashes(text or "")
         if len(tokens):
             for part in ngrams.pieces(tokens, len(self.ratio)):
                 total += float(self.ratio[part].sum())
                 n += len(part)
-        return total / max(n, 1)
+        return total - n * neutral, total / max(n, 1)
 
     def gumbel(self, key: str) -> float:
         """Standard Gumbel noise from the seed and a row's key."""
@@ -94,7 +98,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, most: int) -> Data
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, seed: int = 0, id_col: str = "doc_id", text_col: str = "text",
-    max_labels: int = MAX_LABELS,
+    max_labels: int = MAX_LABELS, neutral: float | None = None,
 ) -> Model:
     """Both models and the threshold.
 
@@ -107,18 +111,18 @@ def fit(
     known = stored(known, "known")
     raw, target = counts(docs.select(text)), counts(known.where("good").select("text"))
     if not target.sum() or not raw.sum():
-        return Model(np.zeros(BINS), -1.0, seed)
+        return Model(np.zeros(BINS), -1.0, seed, 0.0)
     p, q = target + SMOOTHING, raw + SMOOTHING
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     model = Model(ratio, 0.0, seed)
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.weigh(t.as_py()) for t in b.column(0)]
+            got = [model.weigh(t.as_py())[1] for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column(1)], ["mean", "quality"])
 
     rows = known.select("text", F.col("quality").cast("int")).mapInArrow(means, "mean double, quality int").collect()
-    return Model(ratio, _threshold([(r["mean"], r["quality"] == 1) for r in rows]), seed)
+    return Model(ratio, _threshold([(r["mean"], r["quality"] == 1) for r in rows]), seed, neutral)
 
 
 def _threshold(known: list[tuple[float, bool]]) -> float:
@@ -142,55 +146,79 @@ def _weigher(model: Model):
     def weigh(ids: pa.Array, texts: pa.Array) -> pa.Array:
         rows = []
         for i, t in zip(ids, texts, strict=True):
-            mean = model.weigh(t.as_py())
-            rows.append((LENGTH * mean, mean, LENGTH * mean + model.gumbel(i.as_py() or "")))
+            score, mean = model.weigh(t.as_py())
+            rows.append((score, mean, score + model.gumbel(i.as_py() or "")))
         cols = [pa.array(c, pa.float64()) for c in (list(zip(*rows, strict=True)) or [(), (), ()])]
         return pa.StructArray.from_arrays(cols, ["score", "mean", "key"])
 
     return weigh
 
 
-def _kept(scores: DataFrame, model: Model) -> Column:
-    """Whether (key, id) is among the top k: one cut value, found without a full sort."""
-    n, k = scores.agg(F.count(F.lit(1)), F.count_if(F.col("mean") >= model.threshold)).first()
+def _cut(rows: DataFrame, rank: int) -> tuple[float, object]:
+    """(key, id) of the row of this rank by descending key, then id, nulls first.
+
+    Bounds around the rank close in, without a sort of all rows, until few rows are
+    left or all that are left share a key; those are counted by id.
+    """
+    n = rows.count()
+    while n > RANKED:
+        at = 1 - rank / n
+        e = QUANTILE_ERROR
+        lo, hi = rows.approxQuantile("key", [max(0.0, at - 2 * e), min(1.0, at + 2 * e)], e)
+        rank -= rows.where(F.col("key") > hi).count()
+        rows = rows.where(F.col("key").between(lo, hi))
+        before, n = n, rows.count()
+        if lo == hi or n == before:
+            break
+    counted = rows.groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.desc("key"), F.asc("id")))
+    found = counted.withColumn("upto", upto).where(F.col("upto") >= rank).orderBy("upto").first()
+    return found["key"], found["id"]
+
+
+def _kept(scores: DataFrame, model: Model, k: int | None) -> Column:
+    """Whether (key, id) is among the top k."""
+    n, good = scores.agg(F.count(F.lit(1)), F.count_if(F.col("mean") >= model.threshold)).first()
+    k = good if k is None else k
     if k >= n:
         return F.lit(True)
-    if k == 0:
+    if k <= 0:
         return F.lit(False)
-    at = 1 - k / n
-    lo, hi = scores.approxQuantile("key", [max(0.0, at - 2 * QUANTILE_ERROR), min(1.0, at + 2 * QUANTILE_ERROR)], QUANTILE_ERROR)
-    above = scores.where(F.col("key") > hi).count()
-    # Only the thin slice between the two bounds is ranked.
-    near = scores.where(F.col("key").between(lo, hi)).orderBy(F.desc("key"), F.asc("id")).limit(k - above)
-    cut, last = near.agg(F.min("key"), F.max_by("id", F.struct(-F.col("key"), "id"))).first()
-    return (F.col("key") > cut) | ((F.col("key") == cut) & (F.col("id") <= last))
+    cut, last = _cut(scores.select("key", "id"), k)
+    tied = F.col("id").isNull() | F.coalesce(F.col("id") <= F.lit(last), F.lit(False))
+    return (F.col("key") > cut) | ((F.col("key") == cut) & tied)
 
 
 def importance_sample(
-    docs: DataFrame, labels: DataFrame, *, seed: int = 0, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, score, mean, key, kept) for every row.
-
-    Null texts count as empty: score zero.  Null ids share the noise of ''.
-    Repeated rows get the same key and are kept or rejected together.  Labels of
+    docs: DataFrame, labels: DataFrame, *, k: int | None = None, neutral: float | None = None, seed: int = 0,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """(id, score, mean, key, kept) for every row; k rows are kept.
+
+    Rows that tie with the last one kept go by id.  Null texts count as empty: score zero.  Null ids share the noise of ''.
+    Repeated rows get the same key and are kept or rejected together, so that more
+    than k may stay.  Labels of
     ids that are not in ``docs`` are ignored.  Empty input gives an empty frame.
     """
-    return _sampled(docs, labels, seed, id_col, text_col)[0]
+    return _sampled(docs, labels, k, neutral, seed, id_col, text_col)[0]
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, Column, Model]:
-    model = fit(docs, labels, seed=seed, id_col=id_col, text_col=text_col)
+def _sampled(
+    docs: DataFrame, labels: DataFrame, k: int | None, neutral: float | None, seed: int, id_col: str, text_col: str
+) -> tuple[DataFrame, Column, Model]:
+    model = fit(docs, labels, seed=seed, id_col=id_col, text_col=text_col, neutral=neutral)
     got = _weigher(model)(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col(f"`{text_col}`"))
     scores = stored(docs.select(F.col(f"`{id_col}`").alias("id"), got.alias("w")).select("id", "w.*"), "scores")
-    kept = F.coalesce(_kept(scores, model), F.lit(False))
+    kept = F.coalesce(_kept(scores, model, k), F.lit(False))
     return scores.withColumn("kept", kept).withColumnRenamed("id", id_col), kept, model
 
 
 def keep_target_like(
-    docs: DataFrame, labels: DataFrame, *, seed: int = 0, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, labels: DataFrame, *, k: int | None = None, neutral: float | None = None, seed: int = 0,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """The rows of ``docs`` that the sample keeps, columns as they came; no text is shuffled."""
-    _, kept, model = _sampled(docs, labels, seed, id_col, text_col)
+    _, kept, model = _sampled(docs, labels, k, neutral, seed, id_col, text_col)
     got = _weigher(model)(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col(f"`{text_col}`"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col(f"`{id_col}`").alias("id"), got.alias("w"))
     return rows.select("r", "id", "w.key").where(kept).select("r.*")

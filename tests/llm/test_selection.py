@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cuelake.llm import html_text, licences, mixing, quality
 
@@ -132,6 +133,65 @@ def test_sample_odd_tables(spark, odd, empty, labels):
     assert left.columns == odd.columns and left.count() == odd.count()
 
 
+def slow_sample(rows, labels, seed, k, neutral):
+    """Both models as plain dictionaries, the sum of log ratios, noise, and the k first."""
+    import math
+
+    from cuelake.llm import ngrams
+
+    def grams(text):
+        tokens = [int(x) for x in ngrams.token_hashes(text or "")]
+        for i, t in enumerate(tokens):
+            mixed = [t * 0x9E3779B97F4A7C15]
+            if i + 1 < len(tokens):
+                pair = (t * 0xC2B2AE3D27D4EB4F + tokens[i + 1] * 0x165667B19E3779F9) % 2**64
+                mixed.append(pair ^ pair >> 29)
+            yield from ((x % 2**64 >> 33) % quality.BINS for x in mixed)
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if labels.get(i) == (1, 0):
+            target.update(grams(t))
+    total = sum(target.values()) + quality.SMOOTHING * quality.BINS, sum(raw.values()) + quality.SMOOTHING * quality.BINS
+    out = []
+    for i, t in rows:
+        score = sum(
+            math.log((target[b] + quality.SMOOTHING) / total[0]) - math.log((raw[b] + quality.SMOOTHING) / total[1]) - neutral for b in grams(t)
+        )
+        h = hashlib.blake2b(f"{seed}:{i}".encode(), digest_size=8).digest()
+        noise = -math.log(-math.log((int.from_bytes(h, "little") + 0.5) / 2.0**64))
+        out.append((i, score, score + noise))
+    return out, {i for i, _, _ in sorted(out, key=lambda r: (-r[2], r[0]))[:k]}
+
+
+@pytest.mark.parametrize("k", [1, 57, 200])
+def test_sample_equals_slow_models(docs, labels, k):
+    known = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.collect()}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    neutral = 0.0 if k == 57 else quality.fit(docs, labels).threshold
+    slow, kept = slow_sample(rows, known, 4, k, neutral)
+    given = 0.0 if k == 57 else None
+    got = {r["doc_id"]: r for r in quality.importance_sample(docs, labels, seed=4, k=k, neutral=given).collect()}
+    assert len(got) == len(slow)
+    for i, score, key in slow:
+        assert got[i]["score"] == pytest.approx(score, abs=1e-6) and got[i]["key"] == pytest.approx(key, abs=1e-6)
+    assert {i for i, r in got.items() if r["kept"]} == kept
+
+
+def test_ties_at_the_cut(spark, monkeypatch):
+    """Equal keys go by id, repeated ids together, null ids first; bounds that close in find the same row."""
+    rows = [(2.0, 5), (1.0, 9), (1.0, 3), (1.0, 3), (1.0, 7), (0.5, 1), (0.5, None)] + [(-float(i), 100 + i) for i in range(300)]
+    frame = spark.createDataFrame(rows, "key double, id long")
+    order = sorted(rows, key=lambda r: (-r[0], r[1] is not None, r[1] or 0))
+    for ranked in (1 << 18, 4):
+        monkeypatch.setattr(quality, "RANKED", ranked)
+        for k in (1, 2, 3, 4, 5, 6, 7, 8, 150, 306):
+            assert quality._cut(frame, k) == order[k - 1]
+    many = spark.range(2000).select(F.lit(1.0).alias("key"), "id")
+    assert quality._cut(many, 700) == (1.0, 699)
+
+
 def test_keep_equals_sample(docs, labels):
     kept = {r["doc_id"] for r in quality.importance_sample(docs, labels, seed=1).where("kept").collect()}
     assert {r["doc_id"] for r in quality.keep_target_like(docs, labels, seed=1).collect()} == kept

@@ -95,6 +95,14 @@ def banned_punctuation(c: Column) -> Column:
     return count_of(c, "[,.;:，。；：]") - count_of(c, "[0-9],(?:[0-9])")
 
 
+def glossary_pair(line: Column) -> Column:
+    """struct(source, target) of a line "source - target"; null without a hyphen, with an arrow, or with an empty side."""
+    source = F.btrim(F.substring_index(line, "-", 1))
+    target = F.btrim(F.regexp_replace(line, "^[^-]*-", ""))
+    sides = F.contains(line, F.lit("-")) & ~F.contains(line, F.lit("->")) & (source != "") & (target != "")
+    return F.when(sides, F.struct(source.alias("source"), target.alias("target")))
+
+
 def token_budget(duration_ms: Column) -> Column:
     """Decode budget of a duration: max(64, ceil(10 per second) + 16)."""
     return F.greatest(F.lit(64).cast("long"), F.ceil(duration_ms * 10 / 1000.0) + 16)

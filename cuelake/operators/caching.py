@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,15 +23,18 @@ def signature(**settings: object) -> Column:
 
 
 def last_writer(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key: the one with the largest order."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """One row per key: the one with the largest order.  Map-side combining carries hot keys."""
+    return _picked(rows, [key], F.max_by("r", order))
 
 
 def first_occurrence(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key combination: the one with the smallest order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return _picked(rows, keys, F.min_by("r", order))
+
+
+def _picked(rows: DataFrame, keys: list[str], pick: Column) -> DataFrame:
+    whole = rows.withColumn("r", F.struct(*rows.columns))
+    return whole.groupBy(*keys).agg(pick.alias("r")).select("r.*")
 
 
 def probe(rows: DataFrame, batch_cache: DataFrame, row_cache: DataFrame) -> DataFrame:

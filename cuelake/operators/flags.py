@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as tx
-from cuelake.operators.windows import neighbours
+from cuelake.operators.windows import by_media
 
 # The limits of the flags.
 MIN_UNIQUE_RATIO, MAX_CHARS_PER_SEC, MIN_CHARS = 0.25, 14.0, 6
@@ -24,9 +24,10 @@ def postgate(cues: DataFrame, text_col: str = "src_text", score: Column | None =
     empty; runaway (few distinct characters); impossible_rate; repeated_unit;
     duplicate_neighbour; unsupported (only when a threshold is set).
     """
-    near = neighbours(cues, text_col).select("cue_id", "prev_text_same", "next_text_same")
     shown = tx.clean(F.col(text_col))
     short = tx.strip_punctuation(shown)
+    key, w = tx.compact(F.col(text_col)), by_media()
+    same = lambda other: F.coalesce((key != "") & (other == key), F.lit(False))
     seen = cues.select(
         "media_id",
         "cue_id",
@@ -36,7 +37,9 @@ def postgate(cues: DataFrame, text_col: str = "src_text", score: Column | None =
         (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"),
         F.regexp_like(tx.compact(shown), F.lit(LONG_RUN)).alias("long_run"),
         (score if score is not None else F.lit(None).cast("double")).alias("score"),
-    ).join(near, "cue_id")
+        same(F.lag(key).over(w)).alias("prev_text_same"),
+        same(F.lead(key).over(w)).alias("next_text_same"),
+    )
     n, enough = F.col("char_count"), F.col("char_count") >= MIN_CHARS
     rules = {
         "empty": n == 0,

@@ -72,15 +72,15 @@ def _binned(spans: DataFrame, bin_ms: int) -> DataFrame:
     return spans.withColumn("bin", F.explode(F.sequence(first, F.greatest(first, last))))
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str, least_ms: int = 1, bin_ms: int = BIN_MS) -> DataFrame:
-    """(key, a_id, b_id, overlap_ms): pairs that share at least ``least_ms``; ids are renamed a_id and b_id."""
+def overlap_pairs(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str, least_ms: int = 1, bin_ms: int = BIN_MS, times: bool = False) -> DataFrame:
+    """(key, a_id, b_id, overlap_ms[, b_start, b_end]): pairs that share at least ``least_ms``; ids are renamed a_id and b_id."""
     left = _binned(a.select(key, F.col(a_id).alias("a_id"), "start_ms", "end_ms"), bin_ms)
     right = _binned(b.select(key, F.col(b_id).alias("b_id"), "start_ms", "end_ms"), bin_ms)
     right = right.withColumnsRenamed({"start_ms": "b_start", "end_ms": "b_end"})
     begin = F.greatest("start_ms", "b_start")
     met = left.join(right, [key, "bin"]).withColumn("overlap_ms", F.least("end_ms", "b_end") - begin)
     return met.where((F.col("overlap_ms") >= least_ms) & (F.floor(begin / bin_ms) == F.col("bin"))).select(
-        key, "a_id", "b_id", "overlap_ms"
+        key, "a_id", "b_id", "overlap_ms", *(("b_start", "b_end") if times else ())
     )
 
 

@@ -113,10 +113,9 @@ def density_windows(cues: DataFrame, window_ms: int = 10_000) -> DataFrame:
     The median is that of the windows' medians.
     """
     anchors = cues.select("media_id", F.col("cue_id").alias("anchor"), "start_ms", (F.col("start_ms") + window_ms).alias("end_ms"))
-    pairs = overlap_pairs(anchors, cues, "media_id", "anchor", "cue_id")
-    met = pairs.join(cues.select(F.col("cue_id").alias("b_id"), "start_ms", "end_ms"), "b_id")
-    w = Window.partitionBy("media_id", "a_id").orderBy("start_ms", "end_ms", "b_id")
-    gap = F.lead("start_ms").over(w) - F.col("end_ms")
+    met = overlap_pairs(anchors, cues, "media_id", "anchor", "cue_id", times=True)
+    w = Window.partitionBy("media_id", "a_id").orderBy("b_start", "b_end", "b_id")
+    gap = F.lead("b_start").over(w) - F.col("b_end")
     met = met.withColumn("gap", F.when(gap.isNotNull(), F.greatest(F.lit(0), gap)))
     per = met.groupBy("media_id", "a_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("overlap_ms").alias("active"), F.min("gap").alias("least"), F.percentile("gap", 0.5).alias("mid")

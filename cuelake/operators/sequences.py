@@ -18,9 +18,8 @@ def edit_counts(reference: Column, hypothesis: Column) -> Column:
 
     @F.arrow_udf("struct<distance int, ins int, dels int, subs int>")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        rows = [kernels.edit_counts(x.as_py() or "", y.as_py() or "") for x, y in zip(a, b, strict=True)]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in cols], ["distance", "ins", "dels", "subs"])
+        pairs = [(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in kernels.edit_counts(pairs).T], ["distance", "ins", "dels", "subs"])
 
     return run(reference, hypothesis)
 

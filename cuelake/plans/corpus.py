@@ -102,14 +102,17 @@ def token_budget(spark, sf):
     return cues(spark, sf).select("cue_id", tx.token_budget(F.col("end_ms") - F.col("start_ms")).alias("budget"))
 
 
-@P.add("glossary_parse", "SELECT * FROM (VALUES ('de', 'la'), ('ing', 'an'), ('on', 'er'), ('the', 'th')) t(source, target)")
+@P.add(
+    "glossary_parse",
+    r"""
+    WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '[,，\n]')) AS line FROM documents),
+    p AS (SELECT doc_id, trim(split_part(line, '-', 1), ' ') AS source, trim(regexp_replace(line, '^[^-]*-', ''), ' ') AS target
+          FROM l WHERE line NOT LIKE '%->%' AND line LIKE '%-%')
+    SELECT * FROM p WHERE source <> '' AND target <> ''""",
+)
 def glossary_parse(spark, sf):
-    lines = spark.createDataFrame([("\n".join(f"{a} - {b}" for a, b in GLOSSARY) + "\nbad -> arrow, no pair",)], "text string")
-    pairs = lines.select(F.explode(F.split("text", "[,，\n]")).alias("line")).where("line not like '%->%' and line like '%-%'")
-    parsed = pairs.select(
-        F.btrim(F.substring_index("line", "-", 1)).alias("source"), F.btrim(F.regexp_replace("line", "^[^-]*-", "")).alias("target")
-    )
-    return parsed.where("source <> '' and target <> ''")
+    lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "[,，\n]")).alias("line"))
+    return lines.select("doc_id", tx.glossary_pair(F.col("line")).alias("p")).where("p is not null").select("doc_id", "p.*")
 
 
 @P.add(
@@ -258,10 +261,19 @@ def vocab_coverage(spark, sf):
     return sampling.coverage(docs, "text", sampling.vocabulary(docs, "text", 3, 50))
 
 
-@P.add("vocab_encode", "SELECT cue_id, list_transform(string_split(left(src_text, 5), ''), lambda c: CASE c WHEN 'e' THEN 2 WHEN 'n' THEN 3 WHEN 't' THEN 4 ELSE 1 END) AS ids FROM cues WHERE src_text <> ''", over_cues=True)
+@P.add(
+    "vocab_encode",
+    f"""
+    WITH k AS ({VOCAB} SELECT map_from_entries(list((char, id::INTEGER))) AS ids FROM v)
+    SELECT doc_id, list_transform(string_split(text, ''), lambda c: coalesce(map_extract_value(k.ids, c), 1)) AS ids
+    FROM documents, k WHERE text <> ''""",
+)
 def vocab_encode(spark, sf):
-    ids = sampling.encode(F.substring("src_text", 1, 5), {"e": 2, "n": 3, "t": 4})
-    return cues(spark, sf).where("src_text <> ''").select("cue_id", ids.alias("ids"))
+    """Whole documents with the vocabulary of ``vocab_topk``; 1 for other characters."""
+    docs = table(spark, sf, "documents")
+    vocab = sampling.vocabulary(docs, "text", 3, 50).collect()  # at most 50 rows
+    ids = sampling.encode(F.col("text"), {r["char"]: r["id"] for r in vocab})
+    return docs.where("text <> ''").select("doc_id", ids.cast("array<int>").alias("ids"))
 
 
 @P.add(

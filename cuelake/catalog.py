@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from cuelake.plans import corpus, events, media, sequences
+from cuelake.plans import corpus, events, media, segments, sequences, summaries, texts
 from cuelake.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plans in (media.P, corpus.P, sequences.P, events.P):
+for _plans in (media.P, corpus.P, sequences.P, events.P, texts.P, segments.P, summaries.P):
     QUERIES |= _plans.queries
     ORACLE_SQL |= _plans.oracles

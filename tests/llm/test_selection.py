@@ -228,13 +228,44 @@ def test_licence_lines(classifier, text, family):
 
 def test_licence_scan(docs, odd, empty):
     got = {r["doc_id"]: r["families"] for r in licences.scan(docs).collect()}
-    marks = {"Apache License": "apache-2.0", "MIT License": "mit", "GNU General": "gpl", "CC BY-NC": "cc-by-nc"}
+    marks = {
+        "Apache License": "apache-2.0", "MIT License": "mit", "GNU General": "gpl", "CC BY-NC": "cc-by-nc", "All rights reserved.": "proprietary",
+    }
     expected = {r["doc_id"]: sorted(f for m, f in marks.items() if m in r["text"]) for r in docs.collect()}
     assert got == expected
     assert licences.scan(odd).where("n_found > 0").count() == 0 and licences.scan(odd).count() == odd.count()
     assert licences.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "family"),
+    [
+        ("SPDX-License-Identifier: LGPL-3.0-or-later", "lgpl"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl"), ("SPDX-License-Identifier: BSD-2-Clause", "bsd"),
+        ("SPDX-License-Identifier: AGPL-3.0-only", "agpl"), ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa"), ("Licensed under CC BY-NC-ND 3.0", "cc-by-nc-nd"),
+        ("Licensed under CC BY 3.0", "cc-by"), ("                    GNU GENERAL PUBLIC LICENSE", "gpl"), ("Apache License", "apache-2.0"),
+        ("SPDX-License-Identifier: EPL-2.0", None), ("Licensed under the Eclipse Public License v2.0", None), ("SPDX-License-Identifier: Artistic-2.0", None),
+        ("SPDX-License-Identifier: WTFPL", None), ("Distributed under the Boost Software License, Version 1.0.", None),
+    ],
+)
+def test_families_versions_and_strangers(classifier, text, family):
+    assert [f for _, f, _, _ in licences.scan_text(classifier, text)] == ([family] if family else [])
+
+
+def test_whole_templates_held_out():
+    """Trained without every third template of a family: most of the rest is classed right, and hardly any confirmed wrongly."""
+    known = licences.templates()
+    fit = {f: [t for i, t in enumerate(texts) if i % 3 != 2] for f, texts in known.items()}
+    plain = [f"a plain line number {i} about nothing in particular that somebody wrote" for i in range(100)]
+    model = licences.train(plain, known=fit)
+    right = wrong = total = 0
+    for family, texts in known.items():
+        for text in texts[2::3]:
+            found = [f for _, f, _, _ in licences.scan_text(model, text)]
+            classed = model.families[model.predict(licences._bins([text]))[0][0]]
+            right, wrong, total = right + (classed == family), wrong + (found not in ([], [family])), total + 1
+    assert right > 0.6 * total and wrong < 0.1 * total
+
+
 @pytest.mark.parametrize(
     ("text", "family"),
     [
@@ -247,14 +278,6 @@ def test_sentences_of_notices(classifier, text, family):
     assert [f for _, f, _, _ in licences.scan_text(classifier, f"lorem\n{text}\nipsum dolor")] == ([family] if family else [])
 
 
-def test_every_licence_line_is_found(docs):
-    got = {r["doc_id"]: r["families"] for r in licences.scan(docs).collect()}
-    marks = {
-        "Apache License": "apache-2.0", "MIT License": "mit", "GNU General": "gpl", "CC BY-NC": "cc-by-nc", "All rights reserved.": "proprietary",
-    }
-    assert got == {r["doc_id"]: sorted(f for m, f in marks.items() if m in r["text"]) for r in docs.collect()}
-
-
 def test_tree_knows_its_pages():
     for html, known in html_text.LABELLED:
         found = html_text.blocks(html)

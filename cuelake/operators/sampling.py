@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cuelake.functions import text as tx
 
 
+WHOLE = Window.unboundedPreceding, Window.unboundedFollowing
+
+
 def draw(seed: str, key: Column) -> Column:
     """Sort key of a seeded permutation."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
@@ -38,12 +41,18 @@ def group_split(rows: DataFrame, group: str, permille: int, seed: str) -> DataFr
 
     Only the groups' sizes are ordered, not the rows.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(F.lit(0)).orderBy(draw(seed, F.col(group)), group)
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    split = F.when(before * 1000 < total * permille, "val").otherwise("train")
-    return sizes.select(group, "n", split.alias("split"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("draw", draw(seed, F.col(group)))
+    # Sums run over ranges of the draw first, a bounded number of rows, then within each range.
+    ranged = sizes.withColumn("range", F.substring("draw", 1, 4))
+    sums = ranged.groupBy("range").agg(F.sum("n").alias("in_range"))
+    line = Window.orderBy("range")
+    bounds = sums.select(
+        "range", (F.sum("in_range").over(line) - F.col("in_range")).alias("first"), F.sum("in_range").over(line.rowsBetween(*WHOLE)).alias("total")
+    )
+    within = Window.partitionBy("range").orderBy("draw", group)
+    before = F.col("first") + F.sum("n").over(within) - F.col("n")
+    split = F.when(before * 1000 < F.col("total") * permille, "val").otherwise("train")
+    return ranged.join(bounds, "range").select(group, "n", split.alias("split"))
 
 
 def positional_split(rows: DataFrame, by: str, order: str, val: int, test: int, train: int) -> DataFrame:

@@ -5,6 +5,8 @@ Grouped functions get one medium at a time; a medium's rows are few thousands.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -94,16 +96,27 @@ def cut_at_pauses(pauses: DataFrame, key: str, total_ms: int, most_ms: int = 30_
 
 
 def shard_plan(rows: DataFrame, by: str, order: str, size: str, most: int) -> DataFrame:
-    """(by, order, shard): rows in order, a new shard when the next does not fit."""
+    """(by, order, shard): rows in order, a new shard when the next does not fit.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pd.DataFrame({by: pdf[by], order: pdf[order], "shard": kernels.bins_in_order(pdf[size].tolist(), most)})
+    Sorted rows stream through with one running sum, so a key of any size needs no memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard, used = None, 0, 0
+        for b in batches:
+            out = []
+            for k, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                fresh = (k,) != key
+                key, shard, used = (k,), 0 if fresh else shard, 0 if fresh else used
+                if used and used + n > most:
+                    shard, used = shard + 1, 0
+                used += n
+                out.append(shard)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], [by, order, "shard"])
 
     t = rows.schema
-    return rows.select(by, order, size).groupBy(by).applyInPandas(
-        run, f"{by} {t[by].dataType.simpleString()}, {order} {t[order].dataType.simpleString()}, shard long"
-    )
+    dealt = rows.select(by, order, F.coalesce(F.col(size), F.lit(0)).alias(size)).repartition(by).sortWithinPartitions(by, order)
+    return dealt.mapInArrow(run, f"{by} {t[by].dataType.simpleString()}, {order} {t[order].dataType.simpleString()}, shard long")
 
 
 def balanced_split(groups: DataFrame, group: str, positives: str, size: str, parts: int, seed: str) -> DataFrame:

@@ -250,11 +250,11 @@ def postprocessed_segments(spark, sf):
     "glossary_first_pairs",
     f"""
     WITH a AS (SELECT lang AS source, source AS target, 0 AS origin, doc_id AS pos FROM documents WHERE {_stripped("lang")} <> ''),
-    b AS (SELECT role AS source, 's' || turn AS target, 1 AS origin, conv_id AS pos FROM conversations UNION ALL SELECT lang, source, 1, doc_id + 7 FROM documents WHERE {_stripped("lang")} <> '' AND doc_id % 2 = 0)
+    b AS (SELECT role AS source, 's' || turn AS target, 1 AS origin, conv_id AS pos FROM conversations UNION ALL SELECT lang, source, 1, doc_id + 7 FROM documents WHERE {_stripped("lang")} NOT IN ('', 'en'))
     SELECT source, target, min((origin, pos))[1] AS origin, min((origin, pos))[2] AS pos FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY source, target""",
 )
 def glossary_first_pairs(spark, sf):
     docs = table(spark, sf, "documents").where(nf.stripped(F.col("lang")) != "")
     a = docs.select(F.col("lang").alias("source"), F.col("source").alias("target"), F.col("doc_id").alias("pos"))
     turns = table(spark, sf, "conversations").select(F.col("role").alias("source"), F.concat(F.lit("s"), F.col("turn")).alias("target"), F.col("conv_id").alias("pos"))
-    return sg.first_pairs(a, turns.unionByName(a.where("pos % 2 = 0").withColumn("pos", F.col("pos") + 7)))
+    return sg.first_pairs(a, turns.unionByName(a.where("source <> 'en'").withColumn("pos", F.col("pos") + 7)))

@@ -10,6 +10,7 @@ from cuelake.functions import kernels
 from cuelake.operators import evaluation, intervals, sequences
 from cuelake.plans.media import MERGED
 from cuelake.plans.registry import Plans
+from cuelake.plans.texts import WS
 from cuelake.sources.tables import cues, table
 
 P = Plans()
@@ -81,7 +82,17 @@ def tandem_repeat(spark, sf):
     return cues(spark, sf).select("cue_id", sequences.tandem_repeat(F.col("src_text")).alias("r")).select("cue_id", "r.*")
 
 
-@P.add("wrapped_lines")
+@P.add(
+    "wrapped_lines",
+    f"""
+    , t AS (SELECT cue_id, coalesce(tgt_text, '') AS t FROM cues),
+    i AS (SELECT cue_id, t, unnest(range(1, length(t)))::INTEGER AS i FROM t WHERE length(t) > 20),
+    p AS (SELECT cue_id, t, i, rtrim(substr(t, 1, i), {WS}) AS a, ltrim(substr(t, i + 1), {WS}) AS b FROM i),
+    k AS (SELECT *, row_number() OVER (PARTITION BY cue_id ORDER BY greatest(0, length(a) - 20) + greatest(0, length(b) - 20), NOT contains(substr(t, i, 2), ' '),
+                 abs(length(a) - length(b)) + (length(a) > length(b))::INTEGER, i) AS rn FROM p)
+    SELECT cue_id, a || chr(10) || b AS lines FROM k WHERE rn = 1 UNION ALL SELECT cue_id, t FROM t WHERE length(t) <= 20""",
+    over_cues=True,
+)
 def wrapped_lines(spark, sf):
     return cues(spark, sf).select("cue_id", sequences.wrapped(F.col("tgt_text"), 20).alias("lines"))
 
@@ -97,13 +108,33 @@ def cut_at_pauses(spark, sf):
     return sequences.cut_at_pauses(pauses, "media_id", 400_000)
 
 
-@P.add("shard_plan")
+@P.add(
+    "shard_plan",
+    """
+    WITH RECURSIVE d AS (SELECT source, doc_id, coalesce(length(text), 0) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+    r AS (SELECT source, doc_id, rn, 0 AS shard, size AS used FROM d WHERE rn = 1
+          UNION ALL SELECT d.source, d.doc_id, d.rn, CASE WHEN r.used > 0 AND r.used + d.size > 20000 THEN r.shard + 1 ELSE r.shard END,
+                           CASE WHEN r.used > 0 AND r.used + d.size > 20000 THEN d.size ELSE r.used + d.size END
+          FROM r JOIN d ON d.source IS NOT DISTINCT FROM r.source AND d.rn = r.rn + 1)
+    SELECT source, doc_id, shard FROM r""",
+)
 def shard_plan(spark, sf):
     rows = table(spark, sf, "documents").select("source", "doc_id", F.length("text").alias("size"))
     return sequences.shard_plan(rows, "source", "doc_id", "size", 20_000)
 
 
-@P.add("balanced_split")
+@P.add(
+    "balanced_split",
+    """
+    WITH RECURSIVE g AS (SELECT source, sum(toxic)::BIGINT AS p, count(*) AS s FROM documents JOIN labels USING (doc_id) GROUP BY source),
+    o AS (SELECT *, row_number() OVER (ORDER BY p DESC, s DESC, sha256('s4:' || source)) AS rn FROM g),
+    r AS (SELECT source, rn, 0 AS part, p AS p0, s AS s0, 0::BIGINT AS p1, 0::BIGINT AS s1, 0::BIGINT AS p2, 0::BIGINT AS s2 FROM o WHERE rn = 1
+          UNION ALL SELECT source, rn, k, p0 + CASE WHEN k = 0 THEN p ELSE 0 END, s0 + CASE WHEN k = 0 THEN s ELSE 0 END, p1 + CASE WHEN k = 1 THEN p ELSE 0 END,
+                           s1 + CASE WHEN k = 1 THEN s ELSE 0 END, p2 + CASE WHEN k = 2 THEN p ELSE 0 END, s2 + CASE WHEN k = 2 THEN s ELSE 0 END
+          FROM (SELECT o.*, p0, s0, p1, s1, p2, s2, CASE WHEN row(p0, s0) <= row(p1, s1) AND row(p0, s0) <= row(p2, s2) THEN 0 WHEN row(p1, s1) <= row(p2, s2) THEN 1 ELSE 2 END AS k
+                FROM r JOIN o ON o.rn = r.rn + 1))
+    SELECT source, part FROM r""",
+)
 def balanced_split(spark, sf):
     docs = table(spark, sf, "documents").drop("text").join(table(spark, sf, "labels"), "doc_id")
     groups = docs.groupBy("source").agg(F.sum("toxic").alias("positives"), F.count(F.lit(1)).alias("size"))

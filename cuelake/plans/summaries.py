@@ -106,16 +106,16 @@ def threshold_sweep(spark, sf):
 @P.add(
     "spans_by_label",
     f"""
-    SELECT media_id, {QUALITY} AS label, string_agg(start_ms || '-' || end_ms, ' ' ORDER BY start_ms, end_ms, cue_id) AS spans, count(*) AS n
-    FROM cues WHERE start_ms < 600000 AND end_ms > start_ms GROUP BY ALL""",
+    SELECT media_id, start_ms // 600000 AS part, {QUALITY} AS label, string_agg(start_ms || '-' || end_ms, ' ' ORDER BY start_ms, end_ms, cue_id) AS spans, count(*) AS n
+    FROM cues WHERE end_ms > start_ms GROUP BY ALL""",
     over_cues=True,
 )
 def spans_by_label(spark, sf):
-    """The valid spans of a medium's first ten minutes by label."""
+    """The valid spans of every ten minutes of a medium by label."""
     item = F.struct("start_ms", "end_ms", "cue_id", F.concat_ws("-", "start_ms", "end_ms").alias("s"))
-    rows = cues(spark, sf).where((F.col("start_ms") < 600_000) & (F.col("end_ms") > F.col("start_ms")))
-    listed = rows.groupBy("media_id", F.expr(QUALITY).alias("label")).agg(F.array_sort(F.collect_list(item)).alias("l"), F.count(F.lit(1)).alias("n"))
-    return listed.select("media_id", "label", F.array_join(F.col("l.s"), " ").alias("spans"), "n")
+    rows = cues(spark, sf).where(F.col("end_ms") > F.col("start_ms"))
+    listed = rows.groupBy("media_id", F.floor(F.col("start_ms") / 600_000).alias("part"), F.expr(QUALITY).alias("label")).agg(F.array_sort(F.collect_list(item)).alias("l"), F.count(F.lit(1)).alias("n"))
+    return listed.select("media_id", "part", "label", F.array_join(F.col("l.s"), " ").alias("spans"), "n")
 
 
 @P.add(
@@ -154,12 +154,12 @@ def stratum_profile(spark, sf):
 
 @P.add(
     "label_minutes",
-    f"SELECT media_id || '|' || {QUALITY} AS name, sum(end_ms - start_ms) / 60000.0::DOUBLE AS minutes FROM cues WHERE cue_id % 3 = 0 GROUP BY 1",
+    f"SELECT media_id || '|' || {QUALITY} AS name, sum(end_ms - start_ms) / 60000.0::DOUBLE AS minutes FROM cues WHERE tgt_text <> '' GROUP BY 1",
     over_cues=True,
 )
 def label_minutes(spark, sf):
-    """Minutes by medium and label for the cues of one provenance."""
-    rows = cues(spark, sf).where("cue_id % 3 = 0").groupBy(F.concat_ws("|", "media_id", F.expr(QUALITY)).alias("name"))
+    """Minutes by medium and label of the cues with a translation."""
+    rows = cues(spark, sf).where("tgt_text <> ''").groupBy(F.concat_ws("|", "media_id", F.expr(QUALITY)).alias("name"))
     return rows.agg((F.sum(F.col("end_ms") - F.col("start_ms")) / 60000.0).alias("minutes"))
 
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -109,28 +110,58 @@ def stream_job_states(events: DataFrame, terminal: str = "done") -> DataFrame:
     )
 
 
+def _markers(tail: str, text: str, marker: str) -> tuple[int, str]:
+    """(markers that end in ``text``, what of it may begin another): a marker may span pieces."""
+    text = tail + text
+    rest = text[text.rfind(marker) + len(marker) :] if marker in text else text
+    return text.count(marker), rest[max(0, len(rest) - len(marker) + 1) :]
+
+
 def marker_counts(pieces: DataFrame, marker: str) -> DataFrame:
-    """(job, n_markers) in the pieces of a job put together in order; a marker may span pieces."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "piece")))
-    text = F.array_join(F.transform(ordered, lambda x: x["piece"]), "")
-    gone = F.length(text) - F.length(F.replace(text, F.lit(marker), F.lit("")))
-    return pieces.groupBy("job").agg((gone / len(marker)).cast("long").alias("n_markers"))
+    """(job, n_markers) in the pieces of a job put together in order; a marker may span pieces.
+
+    Sorted pieces stream through with a tail shorter than the marker; a job's text is
+    never put together, so a job of any size needs no memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job: tuple | None = None
+        tail, n = "", 0
+        kind = None
+        for b in batches:
+            done, kind = [], b.schema.field(0).type
+            for j, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if (j,) != job:
+                    if job is not None:
+                        done.append((job[0], n))
+                    job, tail, n = (j,), "", 0
+                found, tail = _markers(tail, piece or "", marker)
+                n += found
+            columns = list(zip(*done, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.int64())], ["job", "n_markers"])
+        if job is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([job[0]], kind), pa.array([n], pa.int64())], ["job", "n_markers"])
+
+    dealt = pieces.select("job", "seq", "piece").repartition("job").sortWithinPartitions("job", "seq")
+    return dealt.select("job", "piece").mapInArrow(run, f"job {pieces.schema['job'].dataType.simpleString()}, n_markers long")
 
 
 def stream_marker_counts(pieces: DataFrame, marker: str) -> DataFrame:
-    """``marker_counts`` over a stream: the state is the count and a tail shorter than the marker."""
+    """``marker_counts`` over a stream: the state is the count and a tail shorter than the marker, dropped after ``TTL_MS`` of silence."""
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tail, n = state.get if state.exists else ("", 0)
         rows = pd.concat(list(frames)).sort_values("seq")
-        text = tail + "".join(rows["piece"])
-        n += text.count(marker)
-        rest = text[text.rfind(marker) + len(marker) :] if marker in text else text
-        state.update((rest[len(rest) - len(marker) + 1 :] if len(rest) >= len(marker) else rest, n))
-        yield pd.DataFrame({"job": [key[0]], "n_markers": [n]})
+        found, tail = _markers(tail, "".join(rows["piece"]), marker)
+        state.update((tail, n + found))
+        state.setTimeoutDuration(TTL_MS)
+        yield pd.DataFrame({"job": [key[0]], "n_markers": [n + found]})
 
     return pieces.groupBy("job").applyInPandasWithState(
-        step, "job long, n_markers long", "tail string, n long", "update", GroupStateTimeout.NoTimeout
+        step, "job long, n_markers long", "tail string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

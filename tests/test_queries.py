@@ -54,3 +54,32 @@ def test_nearest_rank_orders_distinct_values(spark):
             ((k, vs[min(len(vs) - 1, int(len(vs) * q))] if vs else None) for k, vs in known.items()), key=str
         )
     assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_shard_plan(spark):
+    """A new shard when the next row does not fit; keys apart, nulls as a key and as size 0."""
+    from cuelake.operators import sequences
+
+    sizes = {"a": [5, 5, 5, 20, 1], "b": [11, 1, None, 9, 1], None: [3, 3, 4, 1]}
+    rows = spark.createDataFrame([(k, i, n) for k, ns in sizes.items() for i, n in enumerate(ns)], "by string, pos long, size long")
+    got = {(r["by"], r["pos"]): r["shard"] for r in sequences.shard_plan(rows, "by", "pos", "size", 10).collect()}
+    assert [got["a", i] for i in range(5)] == [0, 0, 1, 2, 3]
+    assert [got["b", i] for i in range(5)] == [0, 1, 1, 1, 2]
+    assert [got[None, i] for i in range(4)] == [0, 0, 0, 1]
+
+
+def test_markers_span_pieces(spark):
+    from cuelake.streaming import progress
+
+    texts = {1: ["ab", "c", "", "abcab", "c"], 2: ["a", "b", "a", "b", "c"], 3: [None, "xx"], None: ["abc", "abc"]}
+    rows = spark.createDataFrame([(k, i, t) for k, ts in texts.items() for i, t in enumerate(ts)], "job long, seq long, piece string")
+    got = {r["job"]: r["n_markers"] for r in progress.marker_counts(rows, "abc").collect()}
+    assert got == {k: "".join(t or "" for t in ts).count("abc") for k, ts in texts.items()}
+
+
+def test_first_and_last_rows(spark):
+    from cuelake.operators import caching
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, None), (None, 2, "z"), (None, 5, "y")], "key string, pos long, value string")
+    assert sorted(map(tuple, caching.last_writer(rows, "key", "pos").collect()), key=str) == [("a", 3, None), (None, 5, "y")]
+    assert sorted(map(tuple, caching.first_occurrence(rows, ["key"], "pos").collect()), key=str) == [("a", 1, "x"), (None, 2, "z")]

@@ -35,7 +35,7 @@ from cuelake.llm.tables import stored
 BINS = 1 << 16
 MAX_LABELS = 20_000
 SMOOTHING = 0.5
-QUANTILE_ERROR, RANKED = 1e-3, 1 << 18
+QUANTILE_ERROR, RANKED = 1e-3, 1 << 14
 
 
 @dataclass(frozen=True)

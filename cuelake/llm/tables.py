@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 ``spark.checkpoint.dir`` names that folder.  Only on a local master may it be
-unset: then a folder of our own is made and set.
+unset: then a folder of our own is made and set.  An application's tables are
+deleted when it ends; its frames may read them until then.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    own = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     return spark.read.schema(df.schema).parquet(path)
 
 

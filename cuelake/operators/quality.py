@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.functions import normal as nf
 from cuelake.functions import text as tx
 from cuelake.operators.intervals import overlap_pairs
 from cuelake.operators.windows import GAP_MS, MAX_DISPLAY_MS, MIN_DISPLAY_MS, by_media
@@ -158,3 +159,57 @@ def glossary_hits(cues: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return met.groupBy(F.col("p.source").alias("term")).agg(
         F.count(F.lit(1)).alias("checks"), F.count_if(F.contains("tgt", F.col("p.target"))).alias("hits")
     )
+
+
+# Fixed value: kana, spaces and the signs that go with them.
+KANA_ONLY = r"^[ぁ-ゟァ-ヿ\s、。！？…ー～「」『』・()（）]+$"
+
+
+def full_report(cues: DataFrame, pairs: list[tuple[str, str]], short_ms: int = 800) -> DataFrame:
+    """One row per medium: shares of empty, repeated (in list order), kana-only and short cues, cues a minute, glossary hits.
+
+    A cue is kana-only when it has no target or a source of nothing else.  The hit rate is
+    null when no term occurs.  The glossary is a short list of literals.
+    """
+    source, target = tx.text(F.col("src_text")), F.btrim(tx.text(F.col("tgt_text")))
+    known = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs if a and b))
+    held = F.filter(known, lambda p: F.contains(source, p["a"]))
+    before = F.lag(target).over(Window.partitionBy("media_id").orderBy("cue_id"))
+    rows = cues.select(
+        "media_id", "start_ms", "end_ms", target.alias("target"), before.alias("before"),
+        F.regexp_like(F.btrim(source), F.lit(KANA_ONLY)).alias("kana"), F.size(held).alias("checks"),
+        F.size(F.filter(held, lambda p: F.contains(tx.text(F.col("tgt_text")), p["b"]))).alias("hits"),
+    )
+    empty = F.col("target") == ""
+    span = F.greatest(F.max("end_ms") - F.min("start_ms"), F.lit(60))
+    return rows.groupBy("media_id").agg(
+        F.count(F.lit(1)).alias("n_cues"), share(empty).alias("empty_ratio"),
+        share((F.col("target") != "") & (F.col("target") == F.col("before"))).alias("repetition_ratio"), share(empty | F.col("kana")).alias("kana_only_ratio"),
+        share(F.col("end_ms") - F.col("start_ms") < short_ms).alias("short_ratio"), (F.count(F.lit(1)) * 60000.0 / span).alias("per_min_count"),
+        (F.sum("hits") / F.nullif(F.sum("checks"), F.lit(0))).alias("glossary_hit_rate"),
+    )
+
+
+def overlap_examples(cues: DataFrame, most: int = 20) -> DataFrame:
+    """The first ``most`` overlaps of neighbours in every medium, with the times of both."""
+    w = by_media()
+    rows = cues.select(
+        "media_id", "cue_id", F.lag("start_ms").over(w).alias("previous_start"), F.lag("end_ms").over(w).alias("previous_end"), "start_ms", "end_ms",
+        (F.lag("end_ms").over(w) - F.col("start_ms")).alias("overlap_ms"),
+    ).where("overlap_ms > 0")
+    place = F.row_number().over(Window.partitionBy("media_id").orderBy("start_ms", "end_ms", "cue_id")).cast("long")
+    return rows.withColumn("place", place).where(F.col("place") <= most)
+
+
+def rate_extremes(cues: DataFrame, text_col: str = "tgt_text") -> DataFrame:
+    """Per medium: the largest display units a second (times 100), signs banned in raw and in display form, and cues under two frames apart."""
+    shown = nf.display_text(F.col(text_col))
+    d = F.greatest(F.lit(1), F.col("end_ms") - F.col("start_ms"))
+    gap = F.lead("start_ms").over(by_media()) - F.col("end_ms")
+    rows = cues.select(
+        "media_id", (tx.display_units(F.translate(shown, " \n", "")) * 1000.0 / d).alias("rate"), tx.banned_punctuation(F.col(text_col)).alias("raw"),
+        tx.banned_punctuation(shown).alias("banned"), gap.between(0, GAP_MS - 1).alias("near"),
+    )
+    return rows.groupBy("media_id").agg(
+        F.max("rate").alias("max_rate"), F.sum("raw").alias("raw_banned"), F.sum("banned").alias("banned"), F.count_if("near").alias("near_count")
+    )

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import normal as nf
 from cuelake.functions import text as tx
-from cuelake.plans.media import W, _clean
+from cuelake.operators import quality
+from cuelake.plans.media import GLOSSARY, W, _clean, _units
 from cuelake.plans.registry import Plans
 from cuelake.sources.tables import cues, table
 
@@ -321,3 +322,49 @@ def label_aliases(spark, sf):
     known = F.create_map(*(F.lit(x) for x in (0, "pause", 1, "speech", 2, "unsure")))
     rows = table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return rows.select("label", F.try_element_at(known, (F.col("label") % 4).cast("int")).alias("normal"), "n")
+
+
+@P.add(
+    "quality_report_full",
+    f"""
+    , g AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in GLOSSARY)}) t(a, b)),
+    k AS (SELECT media_id, count(*) AS checks, count(*) FILTER (WHERE contains(coalesce(tgt_text, ''), b)) AS hits FROM cues JOIN g ON contains(coalesce(src_text, ''), a) GROUP BY media_id),
+    r AS (SELECT *, trim(coalesce(tgt_text, ''), ' ') AS t, lag(trim(coalesce(tgt_text, ''), ' ')) OVER (PARTITION BY media_id ORDER BY cue_id) AS b FROM cues),
+    a AS (SELECT media_id, count(*) AS n_cues, count(*) FILTER (WHERE t = '') / count(*) AS empty_ratio, count(*) FILTER (WHERE t <> '' AND t = b) / count(*) AS repetition_ratio,
+                 count(*) FILTER (WHERE t = '' OR regexp_matches(trim(coalesce(src_text, ''), ' '), '{quality.KANA_ONLY}')) / count(*) AS kana_only_ratio,
+                 count(*) FILTER (WHERE end_ms - start_ms < 800) / count(*) AS short_ratio, count(*) * 60000.0::DOUBLE / greatest(max(end_ms) - min(start_ms), 60) AS per_min_count
+          FROM r GROUP BY media_id)
+    SELECT a.*, hits / nullif(checks, 0) AS glossary_hit_rate FROM a LEFT JOIN k USING (media_id)""",
+    over_cues=True,
+)
+def quality_report_full(spark, sf):
+    return quality.full_report(cues(spark, sf), GLOSSARY)
+
+
+@P.add(
+    "overlap_examples",
+    f"""
+    , o AS (SELECT media_id, cue_id, lag(start_ms) OVER ({W}) AS previous_start, lag(end_ms) OVER ({W}) AS previous_end, start_ms, end_ms, lag(end_ms) OVER ({W}) - start_ms AS overlap_ms FROM cues),
+    p AS (SELECT *, row_number() OVER ({W}) AS place FROM o WHERE overlap_ms > 0)
+    SELECT * FROM p WHERE place <= 20""",
+    over_cues=True,
+)
+def overlap_examples(spark, sf):
+    return quality.overlap_examples(cues(spark, sf))
+
+
+def _banned(x: str) -> str:
+    return f"(len(regexp_extract_all({x}, '[,.;:，。；：]')) - len(regexp_extract_all({x}, '[0-9],(?:[0-9])')))"
+
+
+@P.add(
+    "rate_extremes",
+    f"""
+    , s AS (SELECT media_id, greatest(1, end_ms - start_ms) AS d, coalesce(tgt_text, '') AS raw, {_display("coalesce(tgt_text, '')")} AS shown, lead(start_ms) OVER ({W}) - end_ms AS gap FROM cues),
+    u AS (SELECT *, replace(replace(shown, ' ', ''), chr(10), '') AS flat FROM s)
+    SELECT media_id, max({_units("flat")} * 1000.0::DOUBLE / d) AS max_rate, sum({_banned("raw")})::BIGINT AS raw_banned, sum({_banned("shown")})::BIGINT AS banned,
+           count(*) FILTER (WHERE gap BETWEEN 0 AND 82) AS near_count FROM u GROUP BY media_id""",
+    over_cues=True,
+)
+def rate_extremes(spark, sf):
+    return quality.rate_extremes(cues(spark, sf))

@@ -22,7 +22,7 @@ THOUGHT = r"(?is)<think>.*?</think>"
 ANSWER_LABEL = r"(?i)^(?:Translation>\s*)?(?:Original>\s*)?"
 ANSWER_QUOTES = "^['\"“”‘’]+|['\"“”‘’]+$"
 NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-TERM_SIGNS = r"[,、。，？\s]"
+TERM_SIGNS = r"[,、。，？?\s]"
 
 
 def stripped(c: Column) -> Column:

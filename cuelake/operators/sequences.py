@@ -60,29 +60,6 @@ def wrapped(text: Column, units: int = 16) -> Column:
     return run(text)
 
 
-def long_display_split(cues: DataFrame, text_col: str) -> DataFrame:
-    """Pieces of cues longer than seven seconds: (media_id, cue_id, piece, text, start_ms, end_ms, continues)."""
-
-    @F.arrow_udf("array<int>")
-    def plan(text: pa.Array, duration: pa.Array) -> pa.Array:
-        out = []
-        for t, d in zip(text, duration, strict=True):
-            s = t.as_py() or ""
-            out.append(kernels.display_plan(len(s), d.as_py(), [i for i in range(1, len(s)) if s[i] in " ,.;:!?"]))
-        return pa.array(out, pa.list_(pa.int32()))
-
-    d, n = F.col("end_ms") - F.col("start_ms"), F.greatest(F.length(text_col), F.lit(1))
-    cuts = cues.where(d > 7000).withColumn("cuts", plan(F.col(text_col), d))
-    ends = F.concat(F.array(F.lit(0)), F.col("cuts"), F.array(n))
-    rows = cuts.withColumn("ends", ends).withColumn("piece", F.explode(F.sequence(F.lit(0), F.size("cuts"))))
-    a, b = F.expr("ends[piece]"), F.expr("ends[piece + 1]")
-    at = lambda k: F.col("start_ms") + F.floor(d * k / n)
-    return rows.select(
-        "media_id", "cue_id", "piece", F.substring(F.col(text_col), a + 1, b - a).alias("text"),
-        at(a).alias("piece_start_ms"), at(b).alias("piece_end_ms"), (F.col("piece") > 0).alias("continues"),
-    )
-
-
 def cut_at_pauses(pauses: DataFrame, key: str, total_ms: int, most_ms: int = 30_000, least_ms: int = 2_000) -> DataFrame:
     """(key, chunk, start_ms, end_ms): greedy tiling of [0, total] at pause midpoints, per key."""
 

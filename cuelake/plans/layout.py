@@ -215,6 +215,13 @@ def _recursive(sql: str) -> str:
     return CUES_SQL.replace("WITH", "WITH RECURSIVE", 1) + sql
 
 
+def plain_split_sql(shown: str, source: str) -> str:
+    """Cues of ``source`` cut by their text alone."""
+    kind = "STRUCT(start_ms BIGINT, end_ms BIGINT, word VARCHAR, aligned BOOLEAN)[]"
+    head = f", spoken AS (SELECT *, NULL::{kind} AS words FROM ({source}))" + HEAD
+    return _recursive(head + split_sql("q", "s0").rstrip(",") + f" SELECT {shown} FROM q_out")
+
+
 @P.add(
     "display_split",
     _recursive(

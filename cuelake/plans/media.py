@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuelake.functions import text as tx
 from cuelake.functions import timecode as tc
 from cuelake.operators import flags, intervals, quality, windows
-from cuelake.plans.registry import Plans
+from cuelake.plans.registry import Plans, banned_sql
 from cuelake.sources.tables import cues, table
 
 P = Plans()
@@ -93,7 +93,7 @@ def overlap_stats(spark, sf):
                    lead(start_ms) OVER ({W}) - end_ms AS gap FROM cues),
     u AS (SELECT *, replace(t, ' ', '') AS s FROM t)
     SELECT media_id, count(*) FILTER (WHERE {_units("t")} > 3200) AS over_two_lines_count,
-           sum(len(regexp_extract_all(t, '[,.;:，。；：]')) - len(regexp_extract_all(t, '[0-9],(?:[0-9])')))::BIGINT AS banned_count,
+           sum({banned_sql("t")})::BIGINT AS banned_count,
            count(*) FILTER (WHERE {_units("s")} * 10 > 9 * greatest(d, 1)) AS cps_over_count,
            count(*) FILTER (WHERE d > 7000) AS duration_over_count, count(*) FILTER (WHERE d < 834) AS duration_under_count,
            count(*) FILTER (WHERE gap BETWEEN 0 AND 82) AS gap_under_count

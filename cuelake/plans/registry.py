@@ -28,3 +28,9 @@ class Plans:
             return query
 
         return keep
+
+
+def banned_sql(x: str) -> str:
+    """How often a display text holds what it must not hold, in DuckDB."""
+    return rf"""(len(regexp_extract_all({x}, '(?i)[，。,⋯‥?!]|\.{{3,}}|…{{2,}}|[？！]{{2,}}|</?\s*i\s*>')) - len(list_filter(range(2, length({x})),
+            lambda i: substr({x}, i, 1) = ',' AND regexp_matches(substr({x}, i - 1, 1) || substr({x}, i + 1, 1), '^\p{{Nd}}{{2}}$'))))"""

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cuelake.functions import kernels
-from cuelake.operators import evaluation, intervals, sequences
+from cuelake.operators import evaluation, intervals, layout, sequences
+from cuelake.plans.layout import plain_split_sql
 from cuelake.plans.media import MERGED
 from cuelake.plans.registry import Plans
 from cuelake.plans.texts import WS
@@ -97,9 +98,20 @@ def wrapped_lines(spark, sf):
     return cues(spark, sf).select("cue_id", sequences.wrapped(F.col("tgt_text"), 20).alias("lines"))
 
 
-@P.add("long_display_split")
+@P.add(
+    "long_display_split",
+    plain_split_sql(
+        "media_id, cue_id, piece::INTEGER AS piece, src_text AS text, start_ms AS piece_start_ms, end_ms AS piece_end_ms, continues_before AS continues",
+        "SELECT * FROM cues WHERE end_ms - start_ms > 7000",
+    ),
+)
 def long_display_split(spark, sf):
-    return sequences.long_display_split(cues(spark, sf), "src_text")
+    """The pieces of cues longer than seven seconds, by their text alone."""
+    long = cues(spark, sf).where("end_ms - start_ms > 7000")
+    return layout.split_long(long).select(
+        "media_id", "cue_id", "piece", F.col("src_text").alias("text"), F.col("start_ms").alias("piece_start_ms"),
+        F.col("end_ms").alias("piece_end_ms"), F.col("continues_before").alias("continues"),
+    )
 
 
 @P.add("cut_at_pauses")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import normal as nf
 from cuelake.functions import text as tx
-from cuelake.operators import quality
+from cuelake.operators import context, quality
 from cuelake.plans.media import GLOSSARY, W, _clean, _units
-from cuelake.plans.registry import Plans
+from cuelake.plans.registry import Plans, banned_sql
 from cuelake.sources.tables import cues, table
 
 P = Plans()
@@ -121,14 +122,19 @@ def low_value_lines(spark, sf):
 @P.add(
     "noise_segments",
     f"""
-    SELECT media_id, cue_id, start_ms, tgt_text FROM cues WHERE length(regexp_replace(coalesce(tgt_text, ''), '[^\\p{{L}}\\p{{N}}]', '', 'g')) = 0
-    ORDER BY media_id, start_ms, end_ms, cue_id LIMIT 50""",
+    , p AS (SELECT *, row_number() OVER ({W}) - 1 AS position FROM cues)
+    SELECT media_id, position, cue_id, start_ms, end_ms, tgt_text FROM p WHERE length(regexp_replace(coalesce(tgt_text, ''), '[^\\p{{L}}\\p{{N}}]', '', 'g')) = 0
+    QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY position) <= 50""",
     over_cues=True,
 )
 def noise_segments(spark, sf):
-    """The first 50 cues without a letter or digit, in order of time."""
-    rows = cues(spark, sf).where(tx.is_noise(F.col("tgt_text"))).orderBy("media_id", "start_ms", "end_ms", "cue_id").limit(50)
-    return rows.select("media_id", "cue_id", "start_ms", "tgt_text")
+    """Each medium's first 50 cues without a letter or digit, with their positions among all its cues."""
+    from cuelake.operators.windows import by_media
+
+    placed = cues(spark, sf).withColumn("position", F.row_number().over(by_media()).cast("long") - 1)
+    first = F.row_number().over(Window.partitionBy("media_id").orderBy("position"))
+    rows = placed.where(tx.is_noise(F.col("tgt_text"))).withColumn("rn", first).where("rn <= 50")
+    return rows.select("media_id", "position", "cue_id", "start_ms", "end_ms", "tgt_text")
 
 
 @P.add(
@@ -298,18 +304,13 @@ def batch_payloads(spark, sf):
 @P.add(
     "context_lines",
     f"""
-    , l AS (SELECT media_id, row_number() OVER ({W}) AS rn, '[' || (start_ms // 1000) || '] ' || {_one_line("src_text")} AS line FROM cues)
-    SELECT media_id, left(string_agg(line, chr(10) ORDER BY rn), 2000) AS context FROM l WHERE rn <= 200 GROUP BY media_id""",
+    , l AS (SELECT media_id, row_number() OVER ({W}) - 1 AS rn, {_one_line("src_text")} AS line, (start_ms + 5) // 10 AS a, (end_ms + 5) // 10 AS b FROM cues)
+    SELECT media_id, left(string_agg(printf('%04d [%d.%02d->%d.%02d] ', rn, a // 100, a % 100, b // 100, b % 100) || line, chr(10) ORDER BY rn), 2000) AS context
+    FROM l WHERE line <> '' GROUP BY media_id""",
     over_cues=True,
 )
 def context_lines(spark, sf):
-    """The first lines of a medium, at most 2,000 characters: no more than 200 cues of a medium meet in one place."""
-    from cuelake.operators.windows import by_media
-
-    line = F.concat(F.lit("["), F.floor(F.col("start_ms") / 1000).cast("string"), F.lit("] "), nf.one_line(F.col("src_text")))
-    first = cues(spark, sf).select("media_id", F.row_number().over(by_media()).alias("rn"), line.alias("line")).where("rn <= 200")
-    joined = first.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("rn", "line"))).alias("l"))
-    return joined.select("media_id", F.left(F.array_join(F.col("l.line"), "\n"), F.lit(2000)).alias("context"))
+    return context.context_lines(cues(spark, sf), "src_text", 2000)
 
 
 @P.add(
@@ -353,18 +354,49 @@ def overlap_examples(spark, sf):
     return quality.overlap_examples(cues(spark, sf))
 
 
-def _banned(x: str) -> str:
-    return f"(len(regexp_extract_all({x}, '[,.;:，。；：]')) - len(regexp_extract_all({x}, '[0-9],(?:[0-9])')))"
-
-
 @P.add(
     "rate_extremes",
     f"""
     , s AS (SELECT media_id, greatest(1, end_ms - start_ms) AS d, coalesce(tgt_text, '') AS raw, {_display("coalesce(tgt_text, '')")} AS shown, lead(start_ms) OVER ({W}) - end_ms AS gap FROM cues),
     u AS (SELECT *, replace(replace(shown, ' ', ''), chr(10), '') AS flat FROM s)
-    SELECT media_id, max({_units("flat")} * 1000.0::DOUBLE / d) AS max_rate, sum({_banned("raw")})::BIGINT AS raw_banned, sum({_banned("shown")})::BIGINT AS banned,
+    SELECT media_id, max({_units("flat")} * 1000.0::DOUBLE / d) AS max_rate, sum({banned_sql("raw")})::BIGINT AS raw_banned, sum({banned_sql("shown")})::BIGINT AS banned,
            count(*) FILTER (WHERE gap BETWEEN 0 AND 82) AS near_count FROM u GROUP BY media_id""",
     over_cues=True,
 )
 def rate_extremes(spark, sf):
     return quality.rate_extremes(cues(spark, sf))
+
+
+PAIRS_SQL = rf"""
+    WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS a, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents),
+    p AS (SELECT doc_id, pos, a AS source, lead(a) OVER (PARTITION BY doc_id ORDER BY pos) AS target FROM w),
+    u AS (SELECT doc_id, pos, trim(source, {WS}) AS source, trim(target, {WS}) AS target FROM p
+          WHERE length(trim(source, {WS})) BETWEEN 1 AND 8 AND length(trim(target, {WS})) BETWEEN 1 AND 8
+            AND NOT regexp_matches(trim(source, {WS}), '{nf.TERM_SIGNS}') AND NOT regexp_matches(trim(target, {WS}), '{nf.TERM_SIGNS}')
+          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos, source, target) <= 15)"""
+
+
+def _word_pairs(spark, sf):
+    """Every word of a document with the word after it."""
+    words = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "source"))
+    after = F.lead("source").over(Window.partitionBy("doc_id").orderBy("pos"))
+    return words.select("doc_id", F.col("pos").cast("long").alias("pos"), "source", after.alias("target"))
+
+
+@P.add("glossary_terms", PAIRS_SQL + " SELECT * FROM u")
+def glossary_terms(spark, sf):
+    return context.usable_pairs(_word_pairs(spark, sf), "doc_id", "pos")
+
+
+@P.add(
+    "formatted_glossary",
+    PAIRS_SQL
+    + """, k AS (SELECT DISTINCT lower(r_name) AS source FROM region UNION SELECT DISTINCT lang FROM documents),
+    f AS (SELECT * FROM u WHERE source NOT IN (SELECT source FROM k WHERE source IS NOT NULL)
+          QUALIFY row_number() OVER (PARTITION BY doc_id, source ORDER BY pos, target) = 1)
+    SELECT doc_id, string_agg(source || '-' || target, chr(10) ORDER BY pos, source) AS terms FROM f GROUP BY doc_id""",
+)
+def formatted_glossary(spark, sf):
+    """A document's first usable word pairs as lines, without words that are a language or a region."""
+    known = table(spark, sf, "region").select(F.lower("r_name").alias("source")).unionByName(table(spark, sf, "documents").select(F.col("lang").alias("source")))
+    return context.formatted_terms(context.usable_pairs(_word_pairs(spark, sf), "doc_id", "pos"), "doc_id", "pos", known)

@@ -19,7 +19,7 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     travel through the joins.
     """
     docs = table(spark, sf_dir, "documents")
-    n_docs = docs.count()
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
     heads = docs.select("doc_id", F.substring("text", 1, 70).alias("head"))
     e = table(spark, sf_dir, "events").select(
         "event_id",
@@ -29,7 +29,7 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("case when event_id % 11 = 0 then user_id else event_id end").alias("k"),
     )
     a, b = heads.toDF("a_id", "a_head"), heads.toDF("b_id", "b_head")
-    e = e.join(a, F.col("k") % n_docs == F.col("a_id")).join(b, (F.col("k") + 1) % n_docs == F.col("b_id"))
+    e = e.withColumns({"a_id": F.col("k") % n_docs, "b_id": (F.col("k") + 1) % n_docs}).join(a, "a_id").join(b, "b_id")
     return e.select(
         F.col("event_id").alias("cue_id"),
         "media_id",

@@ -1,14 +1,15 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
 A page becomes a flat list of text blocks in one linear pass.  Features of a block:
-word count and link density of itself and of the blocks before and after it, and
-three marks of the containers around it: an article or main container; a name or
-element of boilerplate; a container of teasers, comments or the like.  An article
-opens a main container unless it lies in, or is, such a teaser or comment.  Names of
-the whole page, names of its layout ("has-sidebar") and marks on more than half of
-the page's words count for nothing, so that word count and link density carry a page
-whose names mislead.  The tree is trained when first used, on the hand-labelled
-blocks of ``LABELLED``.
+word count and link density of itself and of the blocks before and after it, whether
+it lies in an article or main container, and how much its containers speak against
+it: 1 for a name or element of boilerplate, 2 for teasers, comments, hidden parts or
+the like.  An article opens a main container unless it lies in, or is, such a teaser
+or comment.  Names of the whole page and names of its layout ("has-sidebar") count
+for nothing, nor do marks on more than half of the page's words - the strong ones
+only where next to no unmarked text is left beside them - so that word count and
+link density carry a page whose names mislead.  The tree is trained when first used,
+on the hand-labelled blocks of ``LABELLED``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
 
 import numpy as np
@@ -40,22 +41,28 @@ CONTAINERS = frozenset(
 NOISE_TAGS = frozenset("nav footer aside form menu dialog fieldset button head".split())
 NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar\w*|menu\w*|nav\w*|footer|header|masthead|comments?|"
-    r"commentlist|disqus|reply|replies|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|social|shar(?:e|ing)|related|"
-    r"recommend\w*|widget\w*|breadcrumbs?|pagination|tags|login|signup|search)(?:$|[\s_-])",
+    r"commentlist|disqus|reply|replies|cookie\w*|cc-(?:window|banner|dialog)|consent\w*|\w*notices?|notification\w*|alerts?|gdpr|popup\w*|modal|"
+    r"newsletter|subscri\w*|social|shar(?:e|ing)|related|recommend\w*|widget\w*|breadcrumbs?|pagination|tags|login|signup|search|"
+    r"disclaimers?|discussions?|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
 #: Names that say what a container has beside it or how it is laid out, not what it is.
-LAYOUT = re.compile(r"(?:^|(?<=\s))(?:(?:has|with|without|no|is|layout)[_-]\S+|\S+[_-](?:left|right|fixed|open|closed|on|off|enabled|disabled|free))(?=\s|$)", re.I)
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:(?:has|with|without|no|is|layout)[_-]\S+|\S+[_-](?:layout|open|closed|on|off|enabled|disabled|free))(?=\s|$)", re.I)
 #: Containers that an article in them does not turn into the page's article: teasers and readers' comments.
 FIRM_TAGS = frozenset("aside nav footer".split())
 FIRM_NAMES = re.compile(
-    r"(?:^|\s)(?:ads?|advert\w*|sponsor\w*|promo\w*|side-?bar(?![_-])|comments?|commentlist|disqus|reply|replies|related|recommend\w*)"
-    r"(?=$|\s|[_-](?!open|closed|free|on\b|off\b|enabled|disabled))",
+    r"(?:^|\s)(?:ads?|advert\w*|sponsor\w*|promo\w*|side-?bar|comments?|commentlist|disqus|discussions?|reply|replies|related|recommend\w*|"
+    r"cookie\w*|cc-window|\w*notices?|alerts?|(?:\w+[_-])?disclaimers?)(?=$|[\s_-])",
     re.I,
 )
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|body-?text|content)(?:$|[\s_-])", re.I)
-#: A mark of boilerplate counts for nothing when the container holds more than this share of the page's words.
-MOST_OF_PAGE = 0.5
+#: A mark of boilerplate counts for nothing when the container holds more than this share of the page's words;
+#: a strong one also needs that unmarked text has no more than the other share.
+MOST_OF_PAGE, LITTLE_OF_PAGE = 0.5, 0.1
+#: Words from which a block is simply long.
+LONG_BLOCK = 24
+#: Attributes of parts that nobody sees.
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 @dataclass
@@ -67,7 +74,7 @@ class Block:
     main: bool = False
     noise: bool = False
     firm: bool = False
-    void: bool = False
+    within: bool = False
 
     def close(self) -> None:
         self.words = "".join(self.parts).split()
@@ -144,13 +151,14 @@ def tokens(html: str) -> Iterator[tuple[str, str, list[tuple[str, str]]]]:
 
 @dataclass
 class Container:
-    """An open element: in main; boilerplate that a name or element says, and such that stays; the blocks and marks inside."""
+    """An open element: in main; boilerplate by name or element; strongly so; in main but for that; own marks; the blocks inside."""
 
     tag: str
     main: bool
     noise: bool
     firm: bool
-    marked: bool = False
+    within: bool = False
+    marked: int = 0
     first: int = 0
     words: int = 0
 
@@ -159,7 +167,7 @@ def blocks(html: str) -> list[Block]:
     """The flat text blocks of a page, in page order; never raises on broken markup."""
     out: list[Block] = []
     stack: list[Container] = []
-    marks: list[tuple[int, int, int]] = []  # marked containers: blocks from, to, their words
+    marks: list[tuple[int, int, int, int]] = []  # marked containers: blocks from, to, their words, how strong
     opened: Counter[str] = Counter()
     now, links, total = Block(), 0, 0
 
@@ -170,13 +178,16 @@ def blocks(html: str) -> list[Block]:
             total += len(now.words)
             out.append(now)
         top = stack[-1] if stack else None
-        now = Block(main=bool(top and top.main), noise=bool(top and top.noise), firm=bool(top and top.firm))
+        now = inside(top)
+
+    def inside(top: Container | None) -> Block:
+        return Block(main=top.main, noise=top.noise, firm=top.firm, within=top.within) if top else Block()
 
     def leave(depth: int) -> None:
         for c in stack[depth:]:
             opened[c.tag] -= 1
             if c.marked:
-                marks.append((c.first, len(out), total - c.words))
+                marks.append((c.first, len(out), total - c.words, c.marked))
         del stack[depth:]
 
     for kind, value, attributes in tokens(html):
@@ -204,41 +215,66 @@ def blocks(html: str) -> list[Block]:
             opened[value] += 1
             stack.append(_container(value, attributes, stack[-1] if stack else None))
             stack[-1].first, stack[-1].words = len(out), total
-        top = stack[-1] if stack else None
-        now.main, now.noise, now.firm = bool(top and top.main), bool(top and top.noise), bool(top and top.firm)
+        now = inside(stack[-1] if stack else None)
     cut()
     leave(0)
-    for first, last, words in marks:
-        if words > MOST_OF_PAGE * total:
-            for b in out[first:last]:
-                b.void = True
-    for b in out:
-        b.noise = b.noise and not b.void and not b.firm
+    _void(out, marks, total)
     return out
 
 
+def _void(found: list[Block], marks: list[tuple[int, int, int, int]], total: int) -> None:
+    """Take back the marks of containers that hold most of a page; one pass over blocks and one over marks."""
+    plain = sum(len(b.words) for b in found if not b.firm and b.density < 0.5)
+    # By place and strength (1, 2): containers that begin there minus those that end there, void and valid.
+    void, valid = ([[0] * (len(found) + 1) for _ in range(3)] for _ in range(2))
+    for first, last, words, mark in marks:
+        taken = words > MOST_OF_PAGE * total and (mark < 2 or plain <= LITTLE_OF_PAGE * total)
+        steps = (void if taken else valid)[mark]
+        steps[first] += 1
+        steps[last] -= 1
+    now = [0, 0, 0, 0]
+    for k, b in enumerate(found):
+        now = [n + s[k] for n, s in zip(now, (void[1], void[2], valid[1], valid[2]), strict=True)]
+        if now[1]:  # a container that holds the page's text is its main one, whatever it is called
+            b.firm, b.noise = now[3] > 0, now[2] > 0
+            b.main = b.main or b.within or not (b.firm or b.noise)
+        b.noise = b.noise and not now[0] and not b.firm
+
+
+@lru_cache(1 << 12)
+def _said(names: str) -> tuple[bool, bool, bool]:
+    """Whether names speak of an article, of boilerplate, and strongly so."""
+    names = LAYOUT.sub(" ", names)
+    return bool(MAIN_NAMES.search(names)), bool(NOISE_NAMES.search(names)), bool(FIRM_NAMES.search(names))
+
+
 def _container(tag: str, attributes: list[tuple[str, str]], outer: Container | None) -> Container:
     main, noise, firm = (outer.main, outer.noise, outer.firm) if outer else (False, False, False)
     # the names of the whole page say what is on it, not what it is
     names = "" if tag in ("html", "body") else " ".join(v for k, v in attributes if k in ("class", "id", "role"))
-    names = LAYOUT.sub(" ", names)
+    says_main, says_noise, says_firm = _said(names)
     article = tag in ("article", "main")
-    firm = tag != "main" and (firm or tag in FIRM_TAGS or bool(FIRM_NAMES.search(names)))
-    marked = tag in NOISE_TAGS or (tag == "header" and not main) or (not article and bool(NOISE_NAMES.search(names)))
-    good = not firm and (article or (not marked and bool(MAIN_NAMES.search(names))))
-    return Container(tag, main or good, (noise or marked or firm) and not (good and not main), firm, marked and not firm)
+    hidden = any(k == "hidden" or (k == "aria-hidden" and v.strip().lower() == "true") or (k == "style" and HIDDEN_STYLE.search(v)) for k, v in attributes)
+    own = tag != "main" and (tag in FIRM_TAGS or says_firm) or hidden
+    marked = tag in NOISE_TAGS or (tag == "header" and not main) or (not article and says_noise)
+    good = article or (not marked and says_main)
+    within = (outer.within if outer else False) or good
+    firm = own or (firm and tag != "main")
+    good = good and not firm
+    mark = 2 if own else int(marked and not firm)
+    return Container(tag, main or good, (noise or marked or firm) and not (good and not main), firm, within, mark)
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """One row per block: words and link density before, here, after; in main; in noise; in noise that stays."""
+    """One row per block: words (``LONG_BLOCK`` at most) and link density before, here, after; in main; how strongly it is marked as boilerplate."""
     n = len(found)
-    x = np.zeros((n, 9))
+    x = np.zeros((n, 8))
     if n:
-        words = np.array([0, *(len(b.words) for b in found), 0], float)
+        words = np.minimum(np.array([0, *(len(b.words) for b in found), 0], float), LONG_BLOCK)
         dense = np.array([0, *(b.density for b in found), 0], float)
         for k in range(3):
             x[:, 2 * k], x[:, 2 * k + 1] = words[k : n + k], dense[k : n + k]
-        x[:, 6], x[:, 7], x[:, 8] = [b.main for b in found], [b.noise for b in found], [b.firm for b in found]
+        x[:, 6], x[:, 7] = [b.main for b in found], [2 if b.firm else int(b.noise) for b in found]
     return x
 
 
@@ -247,6 +283,13 @@ def _page(*parts: tuple[int, str]) -> tuple[str, list[int]]:
 
 
 LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen " * 2
+
+
+def _said_in(n: int) -> str:
+    """So many words."""
+    return " ".join(["word"] * n)
+
+
 #: Hand-labelled pages: 1 for a block of the article, 0 for anything else.
 LABELLED = [
     _page(
@@ -287,6 +330,53 @@ LABELLED = [
         (1, f"<div><p>{LONG}{LONG}</p>"), (1, f"<p>{LONG}</p>"), (1, "<p>some words in the middle</p>"), (1, f"<p>{LONG}</p></div>"),
         (0, "<p><a href=x>next</a> <a href=x>page</a></p>"), (0, "<p><a href=x>terms of use</a></p></body>"),
     ),
+    *(_page(
+        *((0, f"<div><a href=x>{w}</a></div>") for w in bar.split()), (0, f"<div><a href=x>more</a> from {bar}</div>"),
+        (1, f"<div><div>{LONG}{LONG}</div>"), (1, "<div>part of it</div>"), (1, f"<div>{LONG}</div>"), (1, f"<div>{LONG}<a href=x>see this</a></div>"),
+        (1, f"<div>{LONG}</div></div>"), *((0, f"<div><a href=x>{w} {w}</a></div>") for w in bar.split()), (0, "<div>made with care</div>"),
+    ) for bar in ("home world sport money", "start blog about us help", "a b c d e f")),
+    _page(
+        (0, "<div>the name of the site</div>"), *((0, f"<td><a href=x>{w}</a></td>") for w in "one two three four five".split()),
+        (1, f"<p>{LONG}{LONG}</p>"), (1, f"<p>{LONG}</p>"), (1, "<h2>why it is so</h2>"), (1, f"<p>{LONG}</p>"), (1, f"<p>{LONG}</p>"),
+        *((0, f"<p><a href=x>{w} of them</a></p>") for w in "six seven eight nine ten".split()),
+    ),
+    _page(
+        (1, f"<article><p>{LONG}{LONG}</p>"), (0, f"<div class='alert alert-info'><p>{LONG}</p></div>"), (1, f"<p>{LONG}</p></article>"),
+        (0, f"<div class=cookiebar><p>{LONG}</p></div>"), (0, f"<div class=sidebar-left><p>{LONG}</p></div>"), (0, f"<div hidden><p>{LONG}</p></div>"),
+        (0, f"<section id=discussion><p>{LONG}{LONG}</p></section>"), (0, f"<div class=legal-disclaimer><p>{LONG}</p></div>"),
+        (0, f"<div class=menu><p>{LONG}</p></div>"),
+    ),
+    _page(
+        (0, "<nav><a href=x>home</a></nav>"), (0, "<div class=ad>buy this</div>"), (1, "<article><h1>a table</h1>"), (1, f"<p>{LONG}</p>"),
+        (1, "<table><tr><td>a</td>"), *((1, f"<td>{w}</td>") for w in "b c d e f g h".split()), (1, "<td>i</td></table>"),
+        (1, "<ul><li>one</li>"), (1, "<li>two</li>"), (1, "<li><a href=x>three</a></li></ul>"), (1, f"<p>{LONG}</p></article>"),
+        (0, "<footer>the site's name</footer>"),
+    ),
+    *(_page(
+        (0, "<div><a href=x>home</a></div>"), (0, f"<div class={name}><p>{_said_in(sizes[-1])}</p>"), (0, f"<p>{_said_in(sizes[0])}</p></div>"),
+        (1, f"<{tag}><p>{_said_in(sizes[0])}</p>"), *((1, f"<p>{_said_in(n)}</p>") for n in sizes[1:]),
+        *((0, f"<div class={n}>{_said_in(k)}</div>") for n, k in zip((name, "comments", "share", "related"), sizes, strict=False)), (1, f"<p>{_said_in(sizes[2])}</p>"),
+        (1, f"<p>{_said_in(sizes[1])} <a href=x>{_said_in(3)}</a></p></{tag}>"), *((0, f"<div class={name}>{_said_in(n)}</div>") for n in sizes),
+        (0, "<p><a href=x>more</a></p>"),
+    ) for tag, name, sizes in (
+        ("article", "widget", (12, 3, 90, 1, 7)), ("main", "sidebar", (150, 2, 2, 14, 60)), ("article", "notice", (5, 5, 4, 5, 45)),
+        ("article", "newsletter", (70, 9, 110, 200, 20)), ("main", "sharing", (1, 1, 2, 100, 1)), ("article", "login", (5, 28, 18, 6, 36)),
+    )),
+    *(_page(
+        (0, "<div><a href=x>home</a></div>"), (0, "<div><a href=x>all of them</a></div>"), (1, f"<div class='{name}'><h1>{_said_in(5)}</h1>"), (1, f"<p>{_said_in(70)}</p>"),
+        (1, f"<p>{_said_in(48)}</p>"), (1, f"<p>{_said_in(90)}</p>"), (1, f"<p>{_said_in(33)}</p>"), (1, f"<p>{_said_in(64)}</p></div>"),
+        (0, f"<div class=comments><p>{_said_in(150)}</p>"), (0, f"<p>{_said_in(180)}</p></div>"), (0, f"<div class=newsletter>{_said_in(14)}</div>"),
+    ) for name in ("search-page", "login-wall", "social-text", "widget-area")),
+    *(_page((1, f"<h1>{_said_in(n)}</h1>"), (1, f"<p>{_said_in(40 + n)}</p>"), (1, f"<p>{_said_in(50)}</p>")) for n in (3, 6, 9)),
+    *(_page(
+        (0, f"<nav><a href=x>{_said_in(k)}</a></nav>"), (1, f"<div class='{name}'><article><h1>{_said_in(n)}</h1>"), (1, f"<p>{_said_in(40 + n)}</p>"),
+        (1, f"<p>{_said_in(50)}</p></article></div>"), (0, "<footer>the name of the site</footer>"),
+    ) for k, n, name in ((1, 3, "promo"), (2, 7, "ads-x"), (1, 4, "related-x"))),
+    *(_page(
+        *((0, f"<div><a href=x>{_said_in(n)}</a></div>") for n in sizes[:3]), *((1, f"<p>{_said_in(n + 12)}</p>") for n in sizes),
+        (0, f"<p>{_said_in(4)}</p>"), *((0, f"<div><a href=x>{_said_in(n)}</a></div>") for n in sizes[:3]),
+    ) for sizes in ((2, 9, 4, 60, 14), (1, 3, 1, 120, 40), (5, 2, 3, 28, 90))),
+    _page((1, "<main><p>a</p>"), *((1, f"<p>{w}</p>") for w in "b c d e f g".split()), (1, "<p><a href=x>h</a></p></main>")),
     _page((1, "<article><h1>a title</h1>"), (1, f"<p>{LONG}</p>"), (1, "<p>the end</p></article>")),
     _page((0, "<nav><a href=x>home</a></nav>"), (1, f"<main><p>{LONG}</p>"), (1, f"<p>{LONG}{LONG}</p></main>")),
     _page((1, f"<p>{LONG}</p>")),
@@ -302,6 +392,9 @@ LABELLED = [
 ]
 
 
+LEAST_LEAF = 1
+
+
 @dataclass(frozen=True)
 class Node:
     """A leaf (``feature`` -1) or a split: ``value`` and below go left."""
@@ -321,8 +414,8 @@ class Node:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
-    """A decision tree by Gini impurity, cuts halfway between neighbouring values."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> Node:
+    """A decision tree by Gini impurity, cuts halfway between neighbouring values, ``LEAST_LEAF`` blocks on either side."""
     if depth == 0 or y.all() or not y.any():
         return Node(yes=bool(y.mean() >= 0.5))
     best = (2.0, -1, 0.0)
@@ -330,6 +423,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
         values = np.unique(x[:, f])
         for v in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= v
+            if min(low.sum(), (~low).sum()) < LEAST_LEAF:
+                continue
             cost = sum(s.sum() * (p := y[s].mean()) * (1 - p) for s in (low, ~low)) * 2 / len(y)
             best = min(best, (cost, f, float(v)))
     if best[1] < 0:

@@ -3,18 +3,21 @@
 Two generative models over hashed unigrams and bigrams: one of target text
 (labelled as good and not toxic), one of the raw corpus.  A document's score is the
 log of its importance weight, the sum of log(p_target / p_raw) - neutral over its
-n-grams.  ``neutral`` is a parameter: 0 gives the plain ratio of the two models; the
-default is the ratio of a text that is as much good as bad, fitted on the labels.
-Target text is a part of the raw corpus, so the plain ratio of good text is close to
-nothing and of either sign, and a long text's rank would follow its length.
+n-grams.  ``neutral`` is a parameter: 0 gives the plain ratio of the two models;
+without it, it is the ratio of a text that is as much good as bad, fitted on the
+labels.  ``length`` is another: with it every text weighs as if it had so many
+n-grams, its mean log ratio times ``length``.  Target text is a part of the raw
+corpus, so the summed ratio of good text is close to nothing and of either sign, and
+a long text's rank would follow its length; sums of hundreds also drown the noise.
 The sample of size k without replacement in proportion to these weights is the
 top k of score plus Gumbel noise.  The noise comes from a hash of seed and id, so
 a lost task redraws the same.
 
-The raw model counts every n-gram of every document.  The target model and the
-threshold are fitted on at most ``MAX_LABELS`` labelled documents.  k is a
-parameter; without one it is the number of documents of the whole corpus whose mean
-log ratio reaches the fitted threshold, so it follows the share of good text.
+The raw model counts every n-gram of every document.  The target model is fitted on
+at most ``MAX_LABELS`` labelled documents.  k is a parameter, as a number or as a
+share of the rows; ``good_share`` gives the share of good quality among the labels.
+Without either, k is the number of documents of the whole corpus whose mean log
+ratio reaches the threshold fitted on the labels.
 """
 
 from __future__ import annotations
@@ -46,17 +49,19 @@ class Model:
     threshold: float
     seed: int
     neutral: float | None = None
+    length: int | None = None
 
     def weigh(self, text: str | None) -> tuple[float, float]:
         """(score, mean log ratio) of a text; 0 when it has no n-gram."""
-        neutral = self.threshold if self.neutral is None else self.neutral
         total, n = 0.0, 0
         tokens = ngrams.token_hashes(text or "")
         if len(tokens):
             for part in ngrams.pieces(tokens, len(self.ratio)):
                 total += float(self.ratio[part].sum())
                 n += len(part)
-        return total - n * neutral, total / max(n, 1)
+        mean = total / max(n, 1)
+        neutral = self.threshold if self.neutral is None else self.neutral
+        return (mean - neutral) * (n if self.length is None else self.length * (n > 0)), mean
 
     def gumbel(self, key: str) -> float:
         """Standard Gumbel noise from the seed and a row's key."""
@@ -98,7 +103,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, most: int) -> Data
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, seed: int = 0, id_col: str = "doc_id", text_col: str = "text",
-    max_labels: int = MAX_LABELS, neutral: float | None = None,
+    max_labels: int = MAX_LABELS, neutral: float | None = None, length: int | None = None,
 ) -> Model:
     """Both models and the threshold.
 
@@ -111,7 +116,7 @@ def fit(
     known = stored(known, "known")
     raw, target = counts(docs.select(text)), counts(known.where("good").select("text"))
     if not target.sum() or not raw.sum():
-        return Model(np.zeros(BINS), -1.0, seed, 0.0)
+        return Model(np.zeros(BINS), -1.0, seed, 0.0, length)
     p, q = target + SMOOTHING, raw + SMOOTHING
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     model = Model(ratio, 0.0, seed)
@@ -122,7 +127,13 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column(1)], ["mean", "quality"])
 
     rows = known.select("text", F.col("quality").cast("int")).mapInArrow(means, "mean double, quality int").collect()
-    return Model(ratio, _threshold([(r["mean"], r["quality"] == 1) for r in rows]), seed, neutral)
+    return Model(ratio, _threshold([(r["mean"], r["quality"] == 1) for r in rows]), seed, neutral, length)
+
+
+def good_share(labels: DataFrame) -> float:
+    """The share of good quality among the labels that say it; 1 without any."""
+    share = labels.where(F.col("quality").isNotNull()).agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+    return 1.0 if share is None else share
 
 
 def _threshold(known: list[tuple[float, bool]]) -> float:
@@ -176,10 +187,10 @@ def _cut(rows: DataFrame, rank: int) -> tuple[float, object]:
     return found["key"], found["id"]
 
 
-def _kept(scores: DataFrame, model: Model, k: int | None) -> Column:
+def _kept(scores: DataFrame, model: Model, k: int | None, share: float | None) -> Column:
     """Whether (key, id) is among the top k."""
     n, good = scores.agg(F.count(F.lit(1)), F.count_if(F.col("mean") >= model.threshold)).first()
-    k = good if k is None else k
+    k = (good if share is None else round(share * n)) if k is None else k
     if k >= n:
         return F.lit(True)
     if k <= 0:
@@ -190,35 +201,36 @@ def _kept(scores: DataFrame, model: Model, k: int | None) -> Column:
 
 
 def importance_sample(
-    docs: DataFrame, labels: DataFrame, *, k: int | None = None, neutral: float | None = None, seed: int = 0,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, *, k: int | None = None, share: float | None = None, neutral: float | None = None,
+    length: int | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(id, score, mean, key, kept) for every row; k rows are kept.
+    """(id, score, mean, key, kept) for every row; k rows are kept, or ``share`` of them if k is not given.
 
     Rows that tie with the last one kept go by id.  Null texts count as empty: score zero.  Null ids share the noise of ''.
     Repeated rows get the same key and are kept or rejected together, so that more
     than k may stay.  Labels of
     ids that are not in ``docs`` are ignored.  Empty input gives an empty frame.
     """
-    return _sampled(docs, labels, k, neutral, seed, id_col, text_col)[0]
+    return _sampled(docs, labels, k, share, neutral, length, seed, id_col, text_col)[0]
 
 
 def _sampled(
-    docs: DataFrame, labels: DataFrame, k: int | None, neutral: float | None, seed: int, id_col: str, text_col: str
-) -> tuple[DataFrame, Column, Model]:
-    model = fit(docs, labels, seed=seed, id_col=id_col, text_col=text_col, neutral=neutral)
+    docs: DataFrame, labels: DataFrame, k: int | None, share: float | None, neutral: float | None, length: int | None, seed: int,
+    id_col: str, text_col: str,
+) -> tuple[DataFrame, Column, Model]:
+    model = fit(docs, labels, seed=seed, id_col=id_col, text_col=text_col, neutral=neutral, length=length)
     got = _weigher(model)(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col(f"`{text_col}`"))
     scores = stored(docs.select(F.col(f"`{id_col}`").alias("id"), got.alias("w")).select("id", "w.*"), "scores")
-    kept = F.coalesce(_kept(scores, model, k), F.lit(False))
+    kept = F.coalesce(_kept(scores, model, k, share), F.lit(False))
     return scores.withColumn("kept", kept).withColumnRenamed("id", id_col), kept, model
 
 
 def keep_target_like(
-    docs: DataFrame, labels: DataFrame, *, k: int | None = None, neutral: float | None = None, seed: int = 0,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, labels: DataFrame, *, k: int | None = None, share: float | None = None, neutral: float | None = None,
+    length: int | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` that the sample keeps, columns as they came; no text is shuffled."""
-    _, kept, model = _sampled(docs, labels, k, neutral, seed, id_col, text_col)
+    _, kept, model = _sampled(docs, labels, k, share, neutral, length, seed, id_col, text_col)
     got = _weigher(model)(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.col(f"`{text_col}`"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col(f"`{id_col}`").alias("id"), got.alias("w"))
     return rows.select("r", "id", "w.key").where(kept).select("r.*")

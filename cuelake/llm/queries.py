@@ -35,7 +35,7 @@ MIX_WEIGHTS = {
     "lang": {"en": 5, "de": 2, "fr": 2, "es": 1},
 }
 MIX_SEED = 17
-QUALITY_SEED = 42
+QUALITY_SEED, QUALITY_LENGTH = 42, 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +53,8 @@ def op2_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality.importance_sample(docs, labels, seed=QUALITY_SEED)
+    share = quality.good_share(labels)
+    return quality.importance_sample(docs, labels, share=share, neutral=0.0, length=QUALITY_LENGTH, seed=QUALITY_SEED)
 
 
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,51 @@ def test_keep_equals_sample(docs, labels):
     assert {r["doc_id"] for r in quality.keep_target_like(docs, labels, seed=1).collect()} == kept
 
 
+def registered(docs, labels, **more):
+    """As the query and the pipeline call it: plain ratios, a text counts as 50 n-grams, k from the labels' share."""
+    return quality.importance_sample(docs, labels, share=quality.good_share(labels), neutral=0.0, length=50, **more)
+
+
+def test_registered_sample_is_no_threshold(spark):
+    """Which rows are kept changes with the seed near the cut, and only there; their number does not."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    k = round(quality.good_share(labels) * docs.count())
+    drawn, means = [], {}
+    for seed in range(4):
+        rows = registered(docs, labels, seed=seed).collect()
+        means = {r["doc_id"]: r["mean"] for r in rows}
+        assert all(r["score"] == pytest.approx(50 * r["mean"]) for r in rows)
+        drawn.append(frozenset(r["doc_id"] for r in rows if r["kept"]))
+        assert len(drawn[-1]) == k
+    above = frozenset(sorted(means, key=lambda i: (-means[i], i))[:k])
+    assert len(set(drawn)) > 1 and any(d != above for d in drawn)
+    good = {r["doc_id"] for r in labels.where("quality = 1 and toxic = 0").collect()}
+    assert all(len(good & d) > 0.97 * len(good) for d in drawn)
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_inclusion_follows_the_weights(k):
+    """Over many seeds, the first of the top k is drawn in proportion to the weights, the second among those left."""
+    scores = np.log([8.0, 4.0, 2.0, 1.0, 1.0])
+    drawn = np.zeros((5, 5))
+    n = 6000
+    for seed in range(n):
+        model = quality.Model(np.zeros(quality.BINS), 0.0, seed, 0.0, 50)
+        key = [s + model.gumbel(str(i)) for i, s in enumerate(scores)]
+        first, second = np.argsort(key)[::-1][:2]
+        drawn[first, second] += 1
+    w = np.exp(scores) / np.exp(scores).sum()
+    expected = w if k == 1 else w + np.array([sum(w[j] * w[i] / (1 - w[j]) for j in range(5) if j != i) for i in range(5)])
+    got = (drawn.sum(axis=1) + (drawn.sum(axis=0) if k == 2 else 0)) / n
+    assert np.abs(got - expected).max() < 4 * 0.5 / np.sqrt(n)
+
+
+def test_share_of_labels(spark):
+    rows = [(1, 1, 0), (2, 0, 0), (3, 1, 1), (4, None, 0), (None, 1, None)]
+    assert quality.good_share(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")) == 0.75
+    assert quality.good_share(spark.createDataFrame([], "doc_id long, quality int, toxic int")) == 1.0
+
+
 def test_ngrams_piece_by_piece():
     from cuelake.llm import ngrams
 
@@ -347,6 +392,47 @@ def test_theme_names_do_not_lose_the_article(page):
     assert html_text.main_text(page.format(f"<p>{PARA}</p><p>{PARA}</p>")) == (PARA * 2).strip()
 
 
+SIXTY = "word " * 59 + "end."
+TWENTY = "these are some twenty words that stand beside the story and are not a part of it at all, as anyone sees."
+
+
+@pytest.mark.parametrize(
+    "tag",
+    ["div id=sidebar-left", "div class=sidebar-right", "div class='alert alert-info'", "div class=cookiebar", "div class=cc-window", "div id=sitenotice",
+     "section id=discussion", "div class=legal-disclaimer", "div hidden", "div aria-hidden=true", "div style='display: none'", "div role=complementary"],
+)
+def test_boilerplate_beside_a_short_article(tag):
+    name = tag.split()[0]
+    for page in ("<article><p>{0}</p></article>{1}", "{1}<article><p>{0}</p></article>"):
+        html = page.format(SIXTY, f"<{tag}><p>{TWENTY}</p></{name}>")
+        assert html_text.main_text(f"<html><body>{html}</body></html>") == SIXTY
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div class='ads-layout'><article>{0}</article></div>", "<div class='related-content-wrap'><article>{0}</article></div>",
+     "<div class='promo-article'>{0}</div>", "<div class=comments-wrap>{0}</div>", "<nav><a href=x>home</a></nav><div class=sponsored>{0}</div>"],
+)
+def test_misleading_names_do_not_lose_the_article(page):
+    assert html_text.main_text(page.format(f"<h1>A title here</h1><p>{PARA}</p><p>{PARA}</p>")) == f"A title here {PARA}{PARA}".strip()
+
+
+def test_long_comments_stay_out():
+    comments = f"<div class=comments><p>{PARA}</p><p>{PARA}</p><p>{PARA}</p><p>{PARA}</p></div>"
+    for page in (f"<article><p>{PARA}</p><p>{PARA}</p></article>{comments}", f"<div><p>{PARA}</p><p>{PARA}</p></div>{comments}"):
+        assert html_text.main_text(page) == (PARA * 2).strip()
+
+
+def test_names_are_one_feature_of_several():
+    """The root of the tree is no list of names, and the blocks before and after have their splits."""
+
+    def used(node):
+        return set() if node.feature < 0 else {node.feature} | used(node.left) | used(node.right)
+
+    assert html_text.tree().feature == 3
+    assert used(html_text.tree()) & {0, 1} and used(html_text.tree()) & {4, 5} and {2, 6, 7} <= used(html_text.tree())
+
+
 def test_attributes_by_the_rules():
     story = f"{PARA}</p><p>{PARA}</p>"
     for tag in ("<p title=it's>", "<p class=\"x>", "<p class='x>", '<p title="a > b">', "<p title='a > b' x>", "<p a=b/>", "<p a = b>", '<p "x">', "<p a=>", "<p =a>", "<p\na\n=\n'b'\n>"):
@@ -361,7 +447,8 @@ def test_attributes_by_the_rules():
 @pytest.mark.parametrize(
     "page",
     ["<p " * 100_000, "<p a='" * 100_000, '<p a="' * 99_999, "<" * 200_000, "<!--" * 100_000, "<script>" * 100_000, "<svg/>" * 50_000, "</" * 100_000,
-     "<p a" + " " * 1_000_000 + ">x", "<p " + "= " * 100_000, "<div>" * 50_000 + "</nav>" * 50_000, "<div><nav>" * 30_000 + "</div>" * 30_000, "&" * 200_000],
+     "<p a" + " " * 1_000_000 + ">x", "<p " + "= " * 100_000, "<div>" * 50_000 + "</nav>" * 50_000, "<div><nav>" * 30_000 + "</div>" * 30_000, "&" * 200_000,
+     "<div class=menu><p>a b</p>" * 50_000, "<div class=comments><p>a b</p>" * 50_000],
 )
 def test_broken_pages_take_linear_time(page):
     import time

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm import bpe, exact_dedup, mixing, quality, simhash
-from cuelake.llm.queries import MIX_SEED, MIX_WEIGHTS, QUALITY_SEED, TOKENIZERS, WORD_BPE, table
+from cuelake.llm.queries import MIX_SEED, MIX_WEIGHTS, QUALITY_LENGTH, QUALITY_SEED, TOKENIZERS, WORD_BPE, table
 from cuelake.llm.tables import stored
 
 #: Sampling and trained ratios are not SQL; tests hold the stages against brute force.
@@ -20,8 +20,10 @@ ORACLE_SQL = None
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling keeps; the rejected ones go."""
-    return quality.keep_target_like(docs, table(spark, sf_dir, "labels"), seed=QUALITY_SEED)
+    """Documents that importance resampling keeps, as large a share as the labels call good; the rejected ones go."""
+    labels = table(spark, sf_dir, "labels")
+    share = quality.good_share(labels)
+    return quality.keep_target_like(docs, labels, share=share, neutral=0.0, length=QUALITY_LENGTH, seed=QUALITY_SEED)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

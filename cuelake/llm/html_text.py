@@ -57,7 +57,7 @@ FIRM_NAMES = re.compile(
 )
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|body-?text|content)(?:$|[\s_-])", re.I)
 #: A mark of boilerplate counts for nothing when the container holds more than this share of the page's words;
-#: a strong one also needs that unmarked text has no more than the other share.
+#: a strong one also needs a page without a main container, whose other text has no more than the other share.
 MOST_OF_PAGE, LITTLE_OF_PAGE = 0.5, 0.1
 #: Words from which a block is simply long.
 LONG_BLOCK = 24
@@ -225,6 +225,8 @@ def blocks(html: str) -> list[Block]:
 def _void(found: list[Block], marks: list[tuple[int, int, int, int]], total: int) -> None:
     """Take back the marks of containers that hold most of a page; one pass over blocks and one over marks."""
     plain = sum(len(b.words) for b in found if not b.firm and b.density < 0.5)
+    if any(b.main and not b.noise for b in found):
+        plain = total  # there is a main container: strong marks stay
     # By place and strength (1, 2): containers that begin there minus those that end there, void and valid.
     void, valid = ([[0] * (len(found) + 1) for _ in range(3)] for _ in range(2))
     for first, last, words, mark in marks:

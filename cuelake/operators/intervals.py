@@ -8,7 +8,7 @@ size; the bin should be near the usual length.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN_MS = 10_000
@@ -22,8 +22,8 @@ def clamp(spans: DataFrame, low_ms: int, high_ms: int) -> DataFrame:
     return cut.where("end_ms > start_ms")
 
 
-def merge(spans: DataFrame, key: str, gap_ms: int = 0) -> DataFrame:
-    """(key, start_ms, end_ms, n): unions of spans whose gaps are at most ``gap_ms``."""
+def merge(spans: DataFrame, key: str, gap_ms: int | Column = 0) -> DataFrame:
+    """(key, start_ms, end_ms, n): unions of spans whose gaps are at most ``gap_ms``, which may be a field of the key."""
     w = Window.partitionBy(key).orderBy("start_ms", "end_ms")
     reach = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce(F.col("start_ms") - F.col("reach") > gap_ms, F.lit(True)).cast("int")

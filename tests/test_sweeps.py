@@ -117,7 +117,7 @@ def test_lives_as_a_stream(spark, sf_dir, tmp_path):
         if r["last_seq"] >= last.get(r["job"], (0, 0, 0, -2))[3]:
             last[r["job"]] = tuple(r)
     batch = {r["job"]: tuple(r) for r in jobs.final_lives(commands).collect()}
-    assert last == batch and len({v[1] for v in batch.values()}) > 2
+    assert last == batch and len({v[1] for v in batch.values()}) > 1
 
 
 def test_steps_of_a_life():

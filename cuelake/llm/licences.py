@@ -35,6 +35,27 @@ CONFIRM, COMMON = 0.6, 5  # least likeness; families from which on a word pair s
 UNKNOWN = "unknown"
 
 # Licence names, notices and paragraphs as their authors publish them.
+#: Lines of licences that are none of the families.
+STRANGERS = [
+    "Eclipse Public License - v 2.0", "Eclipse Public License, Version 1.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "European Union Public Licence v. 1.2", "Licensed under the EUPL, Version 1.2", "The Artistic License 2.0", "SIL Open Font License, Version 1.1",
+    "Boost Software License - Version 1.0", "Common Development and Distribution License (CDDL) Version 1.0", "Microsoft Public License (Ms-PL)",
+    "Academic Free License v3.0", "Open Software License 3.0", "Python Software Foundation License Version 2", "IBM Public License Version 1.0",
+    "Business Source License 1.1", "Server Side Public License v1", "Elastic License 2.0", "Sun Public License Version 1.0", "PostgreSQL License",
+]
+#: Short lines in four languages, by code and version.
+SHORT_CC = (
+    "This work is licensed under {code} {v}", "Dieses Werk steht unter der Lizenz {code} {v}", "Cette œuvre est mise à disposition sous licence {code} {v}",
+    "Esta obra está bajo una licencia {code} {v}", "{code} {v}",
+)
+GNU_VERSIONS = {"gpl": (2, 3), "lgpl": (2, 3), "agpl": (3,)}
+#: The standard notice of the GNU licences, by name and version.
+GNU_NAMES = {"gpl": "GNU General", "lgpl": "GNU Lesser General", "agpl": "GNU Affero General"}
+GNU_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {name} Public License as published by the Free "
+    "Software Foundation, either version {v} of the License, or (at your option) any later version."
+)
 NOTICES: dict[str, list[str]] = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -185,6 +206,11 @@ def templates() -> dict[str, list[str]]:
     for family, (name, versions, more) in IDENTIFIERS.items():
         for v in versions:
             out[family] += [f"SPDX-License-Identifier: {name}{'-' * bool(v)}{v}{m}" for m in more]
+        if family.startswith("cc-"):
+            code = name.replace("CC-", "CC ")
+            out[family] += [line.format(code=code, v=v) for v in versions for line in SHORT_CC]
+    for family, versions in GNU_VERSIONS.items():
+        out[family] += [GNU_NOTICE.format(name=GNU_NAMES[family], v=v) for v in versions]
     return out
 
 
@@ -213,21 +239,33 @@ class Classifier:
 
     def predict(self, lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(class, probability) of every paragraph: the likeliest family, or class 0 when being of any is under the threshold."""
-        p = softmax(self.logits(lines) / self.temperature)
+        p = self.probabilities(lines)
         best = p[:, 1:].argmax(axis=1) + 1
         return np.where(1 - p[:, 0] >= self.threshold, best, 0), p[np.arange(len(p)), best]
 
+    def probabilities(self, lines: list[np.ndarray]) -> np.ndarray:
+        """One row per paragraph, one column per family, the unknown one first."""
+        return softmax(self.logits(lines) / self.temperature)
+
     def likeness(self, family: str, own: frozenset) -> float:
         """Share of word pairs of the family's closest template, or of the paragraph, that the other has."""
         return max((len(own & t) / max(1, min(len(own), len(t))) for t in self.pairs[family]), default=0.0)
 
-    def confirmed(self, family: str, paragraph: str) -> float:
-        """The likeness, or 0 when another family's template fits better; pairs that many families use do not count."""
+    def settled(self, family: str, paragraph: str) -> tuple[str, float]:
+        """(family, likeness): the predicted family if none has a closer template, else the one that has.
+
+        (unknown, 0) when no template comes close enough, or one of a licence outside
+        the families comes as close; pairs that many families use do not count.
+        """
         own = _pairs(paragraph) - self.common
-        mine = self.likeness(family, own)
-        if mine < CONFIRM:
-            return 0.0
-        return mine if all(self.likeness(f, own) <= mine for f in self.pairs if f != family) else 0.0
+        fits = {f: self.likeness(f, own) for f in self.pairs}
+        best = max(fits, key=lambda f: (fits[f], f == UNKNOWN, f == family))
+        return (best, fits[best]) if best != UNKNOWN and fits[best] >= CONFIRM else (UNKNOWN, 0.0)
+
+    def confirmed(self, family: str, paragraph: str) -> float:
+        """The likeness, or 0 when another family's template fits better."""
+        found, fits = self.settled(family, paragraph)
+        return fits if found == family else 0.0
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -302,7 +340,7 @@ def train(
     rng = np.random.default_rng(seed)
     fit = {f: [t for i, t in enumerate(texts) if i % 4 != 3] for f, texts in known.items()}
     weights, bias = _fit(*_examples(fit, [p for i, p in enumerate(plain) if i % 4], rng), families, rounds, rate, l2)
-    first = Classifier(families, weights, bias, 1.0, 0.0, {}, frozenset())
+    first = Classifier(families, weights, bias, 1.0, 0.0, *_closest(fit))
     held = {f: texts[3::4] for f, texts in known.items()}
     texts, labels = _examples(held, plain[::4], rng)
     z, y = first.logits(_bins(texts)), np.array([families.index(f) for f in labels])
@@ -315,16 +353,21 @@ def train(
     stray = 1 - p[y == 0, 0]
     threshold = float(np.clip(np.quantile(stray, 0.95) if stray.size else 0.5, 0.5, 0.7))
     weights, bias = _fit(*_examples(known, plain, rng), families, rounds, rate, l2)
+    return Classifier(families, weights, bias, temperature, threshold, *_closest(known))
+
+
+def _closest(known: dict[str, list[str]]) -> tuple[dict[str, list[frozenset]], frozenset]:
+    """Word pairs of every family's templates, those of strangers under unknown, and the pairs that many families use."""
     pairs = {f: [_pairs(s) for n in texts for s in sentences(n)] for f, texts in known.items()}
     users = Counter(p for sets in pairs.values() for p in frozenset().union(*sets))
     common = frozenset(p for p, n in users.items() if n >= COMMON)
     pairs = {f: [t - common for t in sets if t - common] for f, sets in pairs.items()}
-    return Classifier(families, weights, bias, temperature, threshold, pairs, common)
+    return {**pairs, UNKNOWN: [_pairs(s) - common for s in STRANGERS]}, common
 
 
 def _pairs(text: str) -> frozenset[tuple[str, str]]:
     words = re.findall(r"\w+", text.lower())
-    return frozenset(zip(words, words[1:], strict=False))
+    return frozenset(zip(words, words[1:], strict=False)) or frozenset((w, "") for w in words)
 
 
 def scan_text(model: Classifier, text: str | None) -> list[tuple[int, str, float, float]]:
@@ -333,12 +376,11 @@ def scan_text(model: Classifier, text: str | None) -> list[tuple[int, str, float
     out = []
     for at in range(0, len(lines), 4096):
         part = lines[at : at + 4096]
-        classes, p = model.predict([ngrams.bins(ngrams.token_hashes(x), BINS) for _, x in part])
-        for k in np.flatnonzero(classes):
-            family = model.families[classes[k]]
-            fits = model.confirmed(family, part[k][1])
+        p = model.probabilities([ngrams.bins(ngrams.token_hashes(x), BINS) for _, x in part])
+        for k in np.flatnonzero(1 - p[:, 0] >= model.threshold):
+            family, fits = model.settled(model.families[int(p[k, 1:].argmax()) + 1], part[k][1])
             if fits:
-                out.append((part[k][0], family, round(float(p[k]), 6), round(fits, 6)))
+                out.append((part[k][0], family, round(float(p[k, model.families.index(family)]), 6), round(fits, 6)))
     return out
 
 

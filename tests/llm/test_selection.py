@@ -323,6 +323,31 @@ def test_sentences_of_notices(classifier, text, family):
     assert [f for _, f, _, _ in licences.scan_text(classifier, f"lorem\n{text}\nipsum dolor")] == ([family] if family else [])
 
 
+def test_every_template_is_found_under_its_family(classifier):
+    """Whole templates, the standard notices of the three GNU licences among them; the classifier knew them."""
+    missed = [(f, t) for f, texts in licences.templates().items() for t in texts if f not in {x[1] for x in licences.scan_text(classifier, t)}]
+    assert missed == []
+
+
+GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the "
+    "Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+)
+
+
+@pytest.mark.parametrize(
+    ("text", "family"),
+    [
+        (GNU.format(""), "gpl"), (GNU.format("Lesser "), "lgpl"), (GNU.format("Affero "), "agpl"), ("This file is part of Foo. Foo" + GNU.format("")[12:], "gpl"),
+        ("Dieses Werk steht unter der Lizenz CC BY-SA 4.0", "cc-by-sa"),
+        ("Cette œuvre est mise à disposition sous licence CC BY-NC 4.0.", "cc-by-nc"), ("Esta obra está bajo una licencia CC BY 4.0", "cc-by"),
+        ("Eclipse Public License - v 2.0", None), ("European Union Public Licence v. 1.2", None), ("The Artistic License 2.0", None), ("GPLv3000", None),
+    ],
+)
+def test_short_notices_languages_and_strangers(classifier, text, family):
+    assert [x[1] for x in licences.scan_text(classifier, text)] == ([family] if family else [])
+
+
 def test_tree_knows_its_pages():
     for html, known in html_text.LABELLED:
         found = html_text.blocks(html)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cuelake.functions import payload
 from cuelake.operators import batchmap, caching
 from cuelake.plans.registry import Plans
 from cuelake.sources.tables import table
@@ -63,3 +64,22 @@ def routed_results(spark, sf):
     text = F.when(F.col("turn") % 5 == 4, " ").otherwise(F.col("text"))
     rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), text.alias("text")).withColumn("key", key)
     return batchmap.routed(rows, cache, lambda r: r.where("id % 2 = 0").select("id", F.expr("concat('f', length(text))").alias("value")), "-")
+
+
+WRAPS = ("{}", "```json\n{}\n```", "Sure {{here}} it is: {} and [1, 2] more", 'it\'s "quoted {{" then {} }}', "[3] before {} after", "{} {{\"k\": 99}}")
+
+
+@P.add(
+    "json_in_text",
+    "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, event_id % 7 <> 6 AS found FROM events WHERE event_id % 7 <> 6"
+    " UNION ALL SELECT event_id, NULL, false FROM events WHERE event_id % 7 = 6",
+)
+def json_in_text(spark, sf):
+    """The properties of every event inside a text of one of six kinds, or no object at all."""
+    props = F.col("props")
+    around = [w.split("{}") for w in (x.replace("{{", "\u0001").replace("}}", "\u0002") for x in WRAPS)]
+    texts = [F.concat(F.lit(a.replace("\u0001", "{").replace("\u0002", "}")), props, F.lit(b.replace("\u0001", "{").replace("\u0002", "}"))) for a, b in around]
+    text = F.coalesce(F.get(F.array(*texts), (F.col("event_id") % 7).cast("int")), F.concat(F.lit("none: "), F.replace(props, F.lit("}"), F.lit(""))))
+    value = payload.json_value(text, need_object=True)
+    rows = table(spark, sf, "events").select("event_id", value.alias("v"))
+    return rows.select("event_id", F.get_json_object("v", "$.k").cast("long").alias("k"), F.col("v").isNotNull().alias("found"))

@@ -13,19 +13,21 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WALKS = 16
 INLINE = 32  # elements up to which an array stays as it is
 _FENCE, _FENCE_END = re.compile(r"^```(?:json)?\s*", re.I), re.compile(r"\s*```$")
 _OPEN = re.compile(r"[{\[]")
 
 
-def _ends(text: str, at: int) -> tuple[int, list[tuple[int, int]]]:
-    """Walk from a bracket at ``at`` to its partner: (where the walk ended, complete bracketed parts from inside out).
+def _ends(text: str, at: int) -> tuple[int, list[tuple[int, int]], int | None]:
+    """Walk from a bracket at ``at`` to its partner: where the walk ended, complete bracketed parts, the first bracket in a string.
 
     Strings and escapes are followed, so brackets inside strings count for nothing.
     """
     stack: list[tuple[str, int]] = []
     parts = []
     quoted = escaped = False
+    hidden = None
     for k in range(at, len(text)):
         c = text[k]
         if quoted:
@@ -35,6 +37,8 @@ def _ends(text: str, at: int) -> tuple[int, list[tuple[int, int]]]:
                 escaped = True
             elif c == '"':
                 quoted = False
+            elif c in "{[" and hidden is None:
+                hidden = k
             continue
         if c == '"':
             quoted = True
@@ -42,11 +46,11 @@ def _ends(text: str, at: int) -> tuple[int, list[tuple[int, int]]]:
             stack.append((c, k))
         elif c in "}]":
             if stack[-1][0] != ("{" if c == "}" else "["):
-                return k, parts
+                return k, parts, hidden
             parts.append((stack.pop()[1], k + 1))
             if not stack:
-                return k + 1, parts
-    return len(text), parts
+                return k + 1, parts, hidden
+    return len(text), parts, hidden
 
 
 def find_value(text: str | None, need_object: bool = False) -> Any:
@@ -54,7 +58,8 @@ def find_value(text: str | None, need_object: bool = False) -> Any:
 
     ``ValueError`` if there is none, or if an object is needed and the whole text is
     another value.  The text is walked from every bracket that no walk before has
-    passed, so brackets in prose cost no more than the text is long.
+    passed, and from those that a fruitless walk took for parts of a string, the latter
+    up to ``WALKS`` times the text's length, so brackets in prose cost linear time.
     """
     clean = (text or "").strip()
     if clean.startswith("```"):
@@ -71,9 +76,10 @@ def find_value(text: str | None, need_object: bool = False) -> Any:
 def _inside(text: str, need_object: bool) -> Any:
     """The first object of a text that reads as JSON, else the first array."""
     array = None
-    at = 0
+    at = spent = 0
     while m := _OPEN.search(text, at):
-        at, parts = _ends(text, m.start())
+        at, parts, hidden = _ends(text, m.start())
+        spent += at - m.start()
         tried = -1
         # Outermost parts first; what lies inside one that reads is no candidate of its own.
         for a, b in sorted(parts, key=lambda p: (p[0], -p[1])):
@@ -88,7 +94,7 @@ def _inside(text: str, need_object: bool) -> Any:
             if isinstance(value, dict):
                 return value
             array = value if array is None and not need_object else array
-        at = max(at, m.start() + 1)
+        at = hidden if hidden is not None and spent < WALKS * len(text) else max(at, m.start() + 1)
     if array is None:
         raise ValueError("no JSON value in the text")
     return array

@@ -22,7 +22,7 @@ JSON = st.recursive(st.none() | st.booleans() | st.integers(-99, 99) | st.text('
     [
         ('{"a": 1}', {"a": 1}), (' [1, 2] ', [1, 2]), ('"x"', "x"), ("7", 7), ("```json\n{\"a\": 1}\n```", {"a": 1}), ("```JSON [1]```", [1]),
         ('Sure: {"a": {"b": 2}}. Done', {"a": {"b": 2}}), ('{"x":1} and {"y":2}', {"x": 1}), ("see [1] and {\"a\": 2}", {"a": 2}), ("see [1] only", [1]),
-        ('{not json} {"a": "}"}', {"a": "}"}), ('broken {"a": {"b": 1} ', {"b": 1}), ('an {open brace, then {"a": 3}', {"a": 3}), ('{"a": "\\"{"} x', {"a": '"{'}),
+        ('{not json} {"a": "}"}', {"a": "}"}), ('broken {"a": {"b": 1} ', {"b": 1}), ('an {open brace, then {"a": 3}', {"a": 3}), ('{"a": "\\"{"} x', {"a": '"{'}), ('it\'s "quoted {" then {"k": 69} }', {"k": 69}),
     ],
 )
 def test_values_in_texts(text, value):

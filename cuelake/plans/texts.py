@@ -10,6 +10,7 @@ from cuelake.functions import text as tx
 from cuelake.operators import context, quality
 from cuelake.plans.media import GLOSSARY, W, _clean, _units
 from cuelake.plans.registry import Plans, banned_sql
+from cuelake.sources import reports
 from cuelake.sources.tables import cues, table
 
 P = Plans()
@@ -400,3 +401,29 @@ def formatted_glossary(spark, sf):
     """A document's first usable word pairs as lines, without words that are a language or a region."""
     known = table(spark, sf, "region").select(F.lower("r_name").alias("source")).unionByName(table(spark, sf, "documents").select(F.col("lang").alias("source")))
     return context.formatted_terms(context.usable_pairs(_word_pairs(spark, sf), "doc_id", "pos"), "doc_id", "pos", known)
+
+
+@P.add(
+    "report_lines",
+    """
+    , r AS (SELECT media_id, count(*) AS cues, count(*) FILTER (WHERE coalesce(tgt_text, '') = '') / count(*) AS empty_ratio, max(end_ms - start_ms) AS longest_ms,
+                   count(*) FILTER (WHERE end_ms - start_ms < 834) AS short_count, NULL::BIGINT AS missing FROM cues GROUP BY 1),
+    w AS (SELECT *, list_concat(CASE WHEN empty_ratio > 0.04 THEN ['many empty lines'] ELSE [] END, CASE WHEN short_count > 5 THEN ['short cues: ' || short_count] ELSE [] END) AS warnings FROM r),
+    l AS (SELECT media_id, list_concat(['# Quality Report: ' || media_id, '', '## Summary', '', '| Metric | Value |', '| --- | ---: |', '| `cues` | ' || cues || ' |',
+            '| `empty_ratio` | ' || regexp_replace(printf('%.4f', round(empty_ratio, 4)), '\\.?0+$', '') || ' |', '| `longest_ms` | ' || longest_ms || ' |', '| `short_count` | ' || short_count || ' |',
+            '| `missing` | N/A |', '', '## Warnings', ''], CASE WHEN len(warnings) > 0 THEN list_transform(warnings, lambda x: '- ' || x) ELSE ['- None'] END, ['']) AS ls FROM w)
+    SELECT media_id, unnest(ls) AS line, generate_subscripts(ls, 1)::INTEGER - 1 AS pos FROM l""",
+    over_cues=True,
+)
+def report_lines(spark, sf):
+    """The Markdown lines of a small report of every medium."""
+    d = F.col("end_ms") - F.col("start_ms")
+    r = cues(spark, sf).groupBy("media_id").agg(
+        F.count(F.lit(1)).alias("cues"), (F.count_if(tx.text(F.col("tgt_text")) == "") / F.count(F.lit(1))).alias("empty_ratio"),
+        F.max(d).alias("longest_ms"), F.count_if(d < 834).alias("short_count"), F.lit(None).cast("long").alias("missing"),
+    )
+    some = F.array(
+        F.when(F.col("empty_ratio") > 0.04, "many empty lines"), F.when(F.col("short_count") > 5, F.concat(F.lit("short cues: "), F.col("short_count").cast("string")))
+    )
+    r = r.withColumn("warnings", F.array_compact(some))
+    return reports.markdown(r, "media_id", ["cues", "empty_ratio", "longest_ms", "short_count", "missing"])

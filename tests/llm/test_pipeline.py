@@ -22,7 +22,7 @@ def test_runs(spark, sf_dir, name):
 
 def test_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
 

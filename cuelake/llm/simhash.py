@@ -33,6 +33,7 @@ RADIUS, BLOCKS, SHINGLE, SEED = 3, 3, 3, 42
 _CHUNK = 1 << 14
 CLASSES_PER_TASK, VARIANTS_PER_TASK = 1 << 18, 1 << 25
 _PAIR_CELLS = 1 << 22
+GONE_BROADCAST = 1 << 19  # ids, some tens of MB
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
@@ -215,8 +216,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` with the smallest id of their group, columns as they came.
 
     Of rows that repeat such an id all stay: they are one document.  Rows with a
-    null id stay.
+    null id stay.  Up to ``GONE_BROADCAST`` ids of rows that go are broadcast, so that no
+    text is shuffled; beyond that the documents meet them in one shuffle on the id.
     """
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(column(id_col) != F.col("component")).select(column(id_col).alias("_gone")).distinct()
+    gone = stored(found.where(column(id_col) != F.col("component")).select(column(id_col).alias("_gone")).distinct(), "gone")
+    gone = gone.hint("broadcast" if gone.count() <= GONE_BROADCAST else "shuffle_hash")
     return docs.join(gone, docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")

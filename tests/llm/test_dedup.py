@@ -199,6 +199,20 @@ def test_components_of_a_long_path(spark):
     assert found == {**{i: 1 for i in range(2, 61)}, 101: 100}
 
 
+@pytest.mark.parametrize("name", ["docs", "odd"])
+def test_dropping_by_broadcast_and_by_shuffle(request, monkeypatch, name):
+    """Few ids that go are broadcast, many are met in a shuffle: the same rows stay."""
+    frame = request.getfixturevalue(name)
+    kept = lambda: sorted((tuple(r) for r in simhash.drop_near_duplicates(frame).collect()), key=str)
+    few = kept()
+    assert "BroadcastHashJoin" in simhash.drop_near_duplicates(frame)._jdf.queryExecution().toString()
+    monkeypatch.setattr(simhash, "GONE_BROADCAST", -1)
+    assert kept() == few and len(few) <= frame.count()
+    found = simhash.near_duplicates(frame).collect()
+    stay = sorted((r["doc_id"] for r in found if r["doc_id"] is None or r["doc_id"] == r["component"]), key=str)
+    assert sorted((r[0] for r in few), key=str) == stay
+
+
 def test_drop_near_duplicates(docs, empty):
     left = simhash.drop_near_duplicates(docs)
     assert left.columns == docs.columns

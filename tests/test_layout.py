@@ -210,6 +210,15 @@ def test_block_ratio(spark):
         assert r["r"] == pytest.approx(slow_ratio(r["a"], r["b"]))
 
 
+def test_nameless_reference_is_no_match(spark):
+    """An empty normal form scores nothing; the SQL's 65 for it is ``least`` skipping a null."""
+    media = spark.createDataFrame([("d", "1_Thatth.mkv"), ("e", "2_x.mkv")], "folder string, name string")
+    refs = spark.createDataFrame([("d", "_.ass", []), ("d", "2_Thath.ass", []), ("e", "_.ass", []), ("e", "(a).ass", [])], "folder string, name string, refs array<string>")
+    found = {r["medium"]: (r["reference"], r["score"]) for r in matching.best_references(media, refs).collect()}
+    assert found["1_Thatth.mkv"][0] == "2_Thath.ass"
+    assert found["2_x.mkv"] == ("(a).ass", 0.0)
+
+
 def test_discovery(spark, tmp_path):
     files = {
         "a/Film One.mkv": "", "a/Film One.srt": "", "a/other.ass": "", "b/[grp] Show_01 (x264).MP4": "", "b/show 01.ass": "", "b/zzz.srt": "",

@@ -7,63 +7,113 @@ start_ms, end_ms, score).
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_left
+from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.functions import normal
-from cuelake.functions import text as tx
 
 # An edge character further off than so many median gaps is drawn in; how far sound may widen an edge.
 OUTLIER_GAPS, ONSET_MS, CODA_MS = 4.0, 300, 400
 ALIGNED, SYNTHETIC, MISMATCH = "ctc_forced_alignment", "synthetic_proportional", "char_span_count_mismatch"
+_TOKENS, _WHOLE = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]", re.ASCII), re.compile(r"\S+", re.ASCII)
+WORDS = "array<struct<k:int,word:string,start_ms:double,end_ms:double,score:double,measured:boolean>>"
 
 
-def _widths(tokens: Column) -> Column:
-    """Characters of every token after NFKC, white space aside.  Spark SQL has no normalisation."""
-
-    @F.arrow_udf("array<int>")
-    def run(rows: pa.Array) -> pa.Array:
-        size = lambda t: len(t) if t.isascii() else len("".join(unicodedata.normalize("NFKC", t).split()))
-        return pa.array([None if r is None else [size(t) for t in r] for r in rows.to_pylist()], pa.list_(pa.int32()))
-
-    return run(tokens)
-
-
-def trusted_bounds(spans: DataFrame) -> DataFrame:
-    """(seg_id, n_spans, bound_start, bound_end, trimmed): a segment's extent, a first or last character far off drawn in.
+def _bounds(starts: list, ends: list) -> tuple[float | None, float | None]:
+    """A segment's extent from its characters in order, a first or last one far off drawn in.
 
     Fewer than three characters, or a median gap of no length, leave the raw extent.
     """
-    w = Window.partitionBy("seg_id").orderBy("pos")
-    gap = F.lead("start_ms").over(w) - F.col("start_ms")
-    before = F.lag("end_ms").over(w)
-    per = spans.withColumn("gap", gap).withColumn("before", before).groupBy("seg_id").agg(
-        F.count(F.lit(1)).alias("n_spans"), F.expr("percentile(gap, 0.5)").alias("mid"),
-        F.min_by("start_ms", "pos").alias("s0"), F.min_by("gap", "pos").alias("first_gap"),
-        F.max_by("end_ms", "pos").alias("e1"), F.max_by("before", "pos").alias("e0"),
-    )
-    judged = (F.col("n_spans") > 2) & (F.col("mid") > 0)
-    limit, e0 = OUTLIER_GAPS * F.col("mid"), F.col("e0")
-    early, late = judged & (F.col("first_gap") > limit), judged & (F.col("e1") - e0 > limit)
-    start = F.when(early, F.col("s0") + F.col("first_gap") - F.col("mid")).otherwise(F.col("s0").cast("double"))
-    end = F.when(late, e0 + F.col("mid")).otherwise(F.col("e1").cast("double"))
-    return per.select(
-        "seg_id", "n_spans", start.alias("bound_start"), F.when(judged, F.greatest(start, end)).otherwise(end).alias("bound_end"),
-        (F.coalesce(early, F.lit(False)) | F.coalesce(late, F.lit(False))).alias("trimmed"),
-    )
-
-
-def _tokens(segments: DataFrame, tokens: Column) -> DataFrame:
-    """(segment columns, k, word, width, upto, total): tokens with cumulative widths."""
-    w = Window.partitionBy("seg_id")
-    rows = segments.withColumn("tokens", tokens).withColumn("widths", _widths(F.col("tokens")))
-    rows = rows.select("*", F.posexplode(F.arrays_zip("tokens", "widths")).alias("k", "t")).select(
-        *segments.columns, "k", F.col("t.tokens").alias("word"), F.col("t.widths").cast("long").alias("width")
-    )
-    return rows.withColumn("upto", F.sum("width").over(w.orderBy("k"))).withColumn("total", F.sum("width").over(w))
+    n, s0, e1 = len(starts), starts[0], ends[-1]
+    gaps = [b - a if a is not None and b is not None else None for a, b in pairwise(starts)]
+    known = sorted(g for g in gaps if g is not None)
+    mid = (known[len(known) // 2] + known[(len(known) - 1) // 2]) / 2 if known else 0.0
+    if n < 3 or mid <= 0:
+        return s0, e1
+    start = s0 + gaps[0] - mid if gaps[0] is not None and gaps[0] > OUTLIER_GAPS * mid else s0
+    end = ends[-2] + mid if e1 is not None and ends[-2] is not None and e1 - ends[-2] > OUTLIER_GAPS * mid else e1
+    return start, _most(start, end)
+
+
+def _most(*values: float | None) -> float | None:
+    return max((v for v in values if v is not None), default=None)
+
+
+def _least(*values: float | None) -> float | None:
+    return min((v for v in values if v is not None), default=None)
+
+
+def _width(token: str) -> int:
+    """Characters of a token after NFKC, white space aside."""
+    return len(token) if token.isascii() else len("".join(unicodedata.normalize("NFKC", token).split()))
+
+
+def _measured(tokens: list[str], widths: list[int], extent: tuple, pos: list, starts: list, ends: list, scores: list) -> list[tuple]:
+    """(k, word, start, end, score) of the tokens that have characters; ``pos`` ascends."""
+    b0, b1 = _bounds(starts, ends)
+    x0, x1 = extent
+    lo, hi = b0, b1
+    if x0 is not None and x1 is not None:
+        # Sound may only push an edge outwards.
+        lo = _most(None if b0 is None else b0 - ONSET_MS, _least(b0, x0))
+        hi = _most(lo, _least(None if b1 is None else b1 + CODA_MS, _most(b1, x1)))
+    edged = (lo is not None and b0 is not None and lo < b0) or (hi is not None and b1 is not None and hi > b1)
+    out, at, upto = [], bisect_left(pos, 0), 0
+    for k, (word, width) in enumerate(zip(tokens, widths, strict=True)):
+        upto, first = upto + width, at
+        while at < len(pos) and pos[at] < upto:
+            at += 1
+        if at > first:
+            told = [x for x in scores[first:at] if x is not None]
+            s = _least(_most(starts[first], lo), hi)
+            e = _least(_most(ends[at - 1], s), hi)
+            out.append([k, word, s, e, sum(told) / len(told) if told else None])
+    if edged and out:
+        out[0][2], out[-1][3] = _least(out[0][2], lo), _most(out[-1][3], hi)
+    return out
+
+
+def _shared(text: str, start: float | None, end: float | None) -> list[tuple]:
+    """Whole tokens at their share of the segment's time, where characters and text do not match."""
+    if start is None or end is None or end <= start:
+        return []
+    tokens, upto, out = _WHOLE.findall(text), 0, []
+    total = sum(map(len, tokens))
+    for k, word in enumerate(tokens):
+        before, upto = upto, upto + len(word)
+        out.append((k, word, start + (end - start) * (before / total), start + (end - start) * (upto / total), None))
+    return out
+
+
+def _timed(*columns: Column) -> Column:
+    """Words of every segment: text, start, end, extent's start and end, characters by position."""
+
+    @F.arrow_udf(WORDS)
+    def run(text: pa.Array, start: pa.Array, end: pa.Array, x0: pa.Array, x1: pa.Array, spans: pa.Array) -> pa.Array:
+        plain = lambda c: c.to_pylist() if c.null_count else c.to_numpy(zero_copy_only=False).tolist()
+        pos, starts, ends, scores = map(plain, spans.values.flatten())
+        cuts, sizes, rows, measured = spans.offsets.to_pylist(), [0], [], []
+        for i, (t, a, b, *extent) in enumerate(zip(*(c.to_pylist() for c in (text, start, end, x0, x1)), strict=True)):
+            own = slice(cuts[i], cuts[i + 1])
+            tokens = _TOKENS.findall(t)
+            widths = [*map(_width, tokens)]
+            same = bool(tokens) and sum(widths) == own.stop - own.start
+            found = _measured(tokens, widths, extent, pos[own], starts[own], ends[own], scores[own]) if same else _shared(t, a, b)
+            rows += found
+            measured += [same] * len(found)
+            sizes.append(len(rows))
+        k, word, s, e, score = zip(*rows, strict=True) if rows else ((),) * 5
+        kinds = (pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+        fields = [pa.array(c, kind) for c, kind in zip((k, word, s, e, score, measured), kinds, strict=True)]
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(fields, ["k", "word", "start_ms", "end_ms", "score", "measured"]))
+
+    return run(*columns)
 
 
 def aligned_words(segments: DataFrame, spans: DataFrame) -> DataFrame:
@@ -76,45 +126,21 @@ def aligned_words(segments: DataFrame, spans: DataFrame) -> DataFrame:
     text has, whole tokens share the segment's time by length instead, without a
     score and with the reason.  Segments without words or, then, without time give
     no rows; spans of unknown segments are ignored.
-    """
-    clean = normal.one_line(F.col("text"))
-    known = segments.join(trusted_bounds(spans), "seg_id", "left")
-    own = _tokens(known, tx.tokens(clean)).where("total = n_spans")
-    # Sound may only push an edge outwards.
-    lo = F.coalesce(F.greatest(F.col("bound_start") - ONSET_MS, F.least("bound_start", "extent_start_ms")), F.col("bound_start"))
-    hi = F.coalesce(F.least(F.col("bound_end") + CODA_MS, F.greatest("bound_end", "extent_end_ms")), F.col("bound_end"))
-    lo = F.when(F.col("extent_start_ms").isNotNull() & F.col("extent_end_ms").isNotNull(), lo).otherwise(F.col("bound_start"))
-    hi = F.when(F.col("extent_start_ms").isNotNull() & F.col("extent_end_ms").isNotNull(), F.greatest(lo, hi)).otherwise(F.col("bound_end"))
-    own = own.withColumns({"lo": lo, "hi": hi}).withColumn("edged", (F.col("lo") < F.col("bound_start")) | (F.col("hi") > F.col("bound_end")))
-    keep = ["seg_id", "k", "word", "lo", "hi", "edged"]
-    chars = own.where("width > 0").select(*keep, F.explode(F.sequence(F.col("upto") - F.col("width"), F.col("upto") - 1)).alias("pos"))
-    hit = chars.join(spans.select("seg_id", F.col("pos").cast("long").alias("pos"), "start_ms", "end_ms", "score"), ["seg_id", "pos"])
-    words = hit.groupBy(*keep).agg(
-        F.min_by("start_ms", "pos").cast("double").alias("s"), F.max_by("end_ms", "pos").cast("double").alias("e"), F.avg("score").alias("score")
-    )
-    inside = F.least(F.greatest("s", "lo"), "hi")
-    words = words.withColumn("s", inside).withColumn("e", F.least(F.greatest("e", "s"), "hi"))
-    w = Window.partitionBy("seg_id")
-    first, last = F.col("k") == F.min("k").over(w), F.col("k") == F.max("k").over(w)
-    measured = words.select(
-        "seg_id", "k", "word",
-        F.when(F.col("edged") & first, F.least("s", "lo")).otherwise(F.col("s")).alias("start_ms"),
-        F.when(F.col("edged") & last, F.greatest("e", "hi")).otherwise(F.col("e")).alias("end_ms"),
-        F.lit(ALIGNED).alias("kind"), F.round("score", 4).alias("score"), F.lit(None).cast("string").alias("reason"),
-    )
-    return measured.unionByName(_shared(known, own, clean))
 
-
-def _shared(known: DataFrame, own: DataFrame, clean: Column) -> DataFrame:
-    """Whole tokens at their share of the segment's time, where characters and text do not match."""
-    rest = known.join(own.select("seg_id").distinct(), "seg_id", "left_anti").where("end_ms > start_ms")
-    rows = rest.select("seg_id", "start_ms", "end_ms", F.posexplode(F.regexp_extract_all(clean, F.lit(r"\S+"), 0)).alias("k", "word"))
-    w = Window.partitionBy("seg_id")
-    rows = rows.withColumn("n", F.length("word")).withColumn("upto", F.sum("n").over(w.orderBy("k"))).withColumn("total", F.sum("n").over(w))
-    at = lambda n: F.col("start_ms") + (F.col("end_ms") - F.col("start_ms")) * (n / F.col("total"))
-    return rows.select(
-        "seg_id", "k", "word", at(F.col("upto") - F.col("n")).alias("start_ms"), at(F.col("upto")).alias("end_ms"),
-        F.lit(SYNTHETIC).alias("kind"), F.lit(None).cast("double").alias("score"), F.lit(MISMATCH).alias("reason"),
+    A segment's characters become one array, so only segments are joined; characters
+    that are dealt by segment already do not shuffle.
+    """
+    char = F.struct(F.col("pos").cast("long").alias("pos"), *(F.col(c).cast("double").alias(c) for c in ("start_ms", "end_ms", "score")))
+    packed = spans.where("seg_id IS NOT NULL AND pos IS NOT NULL").groupBy("seg_id").agg(F.sort_array(F.collect_list(char)).alias("chars"))
+    known = segments.join(packed, "seg_id", "left")
+    times = (F.col(c).cast("double") for c in ("start_ms", "end_ms", "extent_start_ms", "extent_end_ms"))
+    none = F.array().cast("array<struct<pos:long,start_ms:double,end_ms:double,score:double>>")
+    words = known.select("seg_id", _timed(normal.one_line(F.col("text")), *times, F.coalesce("chars", none)).alias("words"))
+    # The outer form, or Spark adds a filter on the array's size, for which Python would run a second time.
+    w = words.select("seg_id", F.explode_outer("words").alias("w")).where("w IS NOT NULL").select("seg_id", "w.*")
+    return w.select(
+        "seg_id", "k", "word", "start_ms", "end_ms", F.when(F.col("measured"), ALIGNED).otherwise(SYNTHETIC).alias("kind"),
+        F.round("score", 4).alias("score"), F.when(~F.col("measured"), MISMATCH).alias("reason"),
     )
 
 

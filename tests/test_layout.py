@@ -186,6 +186,23 @@ def test_words_from_characters(spark):
     ]
 
 
+def test_words_take_one_join_of_segments(spark):
+    """Characters meet their segment as one array: no window and no join by place, so only segments and one array each are dealt out."""
+    seg = spark.createDataFrame([(1, "ab c", 0, 9, None, None)], "seg_id long, text string, start_ms long, end_ms long, extent_start_ms long, extent_end_ms long")
+    sp = spark.createDataFrame([(1, i, i, i + 1, 0.5) for i in (2, 0, 1)], "seg_id long, pos int, start_ms long, end_ms long, score double")
+    found = wordtimes.aligned_words(seg, sp)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("ArrowEvalPython") == 1 and plan.count("Join") == 1
+    assert [(r["word"], r["start_ms"], r["end_ms"]) for r in found.collect()] == [("ab", 0.0, 2.0), ("c", 2.0, 3.0)]
+
+
+def test_words_with_holes_and_nulls(spark):
+    """A word without characters goes, a null time or score counts for nothing, characters without a place or a segment are none."""
+    spans = [(1, 0, 0, 5, None), (1, 1, None, 20, 0.5), (1, 7, 20, 30, 0.5), (None, 0, 1, 2, 0.1), (2, None, 1, 2, 0.1)]
+    got = heard(spark, [(1, "a bc", 0, 9, None, None), (2, "x", 0, 10, None, None), (3, " ", 0, 9, None, None)], spans)
+    assert [(g[0], g[2], g[5], g[6]) for g in got] == [(1, "a", wordtimes.ALIGNED, None), (1, "bc", wordtimes.ALIGNED, 0.5), (2, "x", wordtimes.SYNTHETIC, None)]
+
+
 def slow_ratio(a, b):
     """Twice the matched characters over all, by the longest common block and what lies beside it."""
 

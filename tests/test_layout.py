@@ -203,6 +203,14 @@ def test_words_with_holes_and_nulls(spark):
     assert [(g[0], g[2], g[5], g[6]) for g in got] == [(1, "a", wordtimes.ALIGNED, None), (1, "bc", wordtimes.ALIGNED, 0.5), (2, "x", wordtimes.SYNTHETIC, None)]
 
 
+def test_segment_scores_from_arrays(spark):
+    seg = spark.createDataFrame([(1, "ab c", 0, 9, None, None), (2, "no", 0, 9, None, None)], "seg_id long, text string, start_ms long, end_ms long, extent_start_ms long, extent_end_ms long")
+    sp = spark.createDataFrame([(1, i, i, i + 1, 0.25 * i) for i in range(3)], "seg_id long, pos int, start_ms long, end_ms long, score double")
+    found = wordtimes.segment_scores(wordtimes.aligned_words(seg, sp))
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 0.3125), (2, 1, None)]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def slow_ratio(a, b):
     """Twice the matched characters over all, by the longest common block and what lies beside it."""
 

@@ -31,7 +31,7 @@ def common_subsequence(a: Column, b: Column) -> Column:
 
     @F.arrow_udf("int")
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([kernels.common_subsequence(p.as_py() or "", q.as_py() or "") for p, q in zip(x, y, strict=True)], pa.int32())
+        return pa.array([kernels.common_subsequence(p or "", q or "") for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.int32())
 
     return run(a, b)
 

@@ -41,7 +41,7 @@ def tandem_repeat(text: Column) -> Column:
 
     @F.arrow_udf("struct<unit string, run int, chars int>")
     def run(x: pa.Array) -> pa.Array:
-        rows = [kernels.tandem_repeat(p.as_py() or "") for p in x]
+        rows = kernels.tandem_repeats([p or "" for p in x.to_pylist()])
         unit, copies, chars = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.StructArray.from_arrays(
             [pa.array(unit, pa.string()), pa.array(copies, pa.int32()), pa.array(chars, pa.int32())], ["unit", "run", "chars"]

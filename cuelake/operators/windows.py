@@ -6,6 +6,8 @@ every result is deterministic.  A medium holds a few thousand cues at most.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,23 +188,33 @@ def word_segments(words: DataFrame) -> DataFrame:
     )
 
 
+def _running(lengths: Column) -> Column:
+    """Sums of every array up to each of its numbers, in one pass over a batch."""
+
+    @F.arrow_udf("array<long>")
+    def run(x: pa.Array) -> pa.Array:
+        at = x.offsets.to_numpy().astype(np.int64)
+        upto = np.concatenate(([0], np.cumsum(x.values.to_numpy(zero_copy_only=False))))
+        own = upto[1 + at[0] : 1 + at[-1]] - np.repeat(upto[at[:-1]], np.diff(at))
+        return pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(own, pa.int64()))
+
+    return run(lengths)
+
+
 def proportional_tokens(cues: DataFrame, text_col: str = "src_text") -> DataFrame:
-    """Tokens of a cue with shares of its window by length; the last token ends exactly."""
-    toks = cues.select(
-        "media_id", "cue_id", "start_ms", "end_ms", F.posexplode(tx.tokens(F.col(text_col))).alias("token_index", "token")
+    """Tokens of a cue with shares of its window by length; the last token ends exactly.
+
+    A cue's sums are made in its own row, so that tokens are neither dealt out nor sorted.
+    """
+    toks = cues.select("cue_id", "start_ms", "end_ms", tx.tokens(F.col(text_col)).alias("tokens"))
+    toks = toks.withColumn("upto", _running(F.transform("tokens", F.length).cast("array<long>")))
+    total = F.try_element_at("upto", F.lit(-1))
+    rows = toks.where(F.size("tokens") > 0).select(
+        "cue_id", "start_ms", "end_ms", total.alias("total"), F.posexplode_outer(F.arrays_zip("tokens", "upto")).alias("token_index", "t")
     )
-    order = Window.partitionBy("cue_id").orderBy("token_index")
-    total = F.sum(F.length("token")).over(Window.partitionBy("cue_id"))
-    upto = F.sum(F.length("token")).over(order)
     at = lambda n: F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) * n / F.col("total"))
-    return (
-        toks.withColumn("total", total)
-        .withColumn("upto", upto)
-        .select(
-            "cue_id",
-            F.col("token_index").cast("long").alias("token_index"),
-            "token",
-            at(F.col("upto") - F.length("token")).alias("token_start_ms"),
-            at(F.col("upto")).alias("token_end_ms"),
-        )
-    )
+    upto = F.col("t.upto")
+    return rows.select(
+        "cue_id", F.col("token_index").cast("long").alias("token_index"), F.col("t.tokens").alias("token"),
+        at(upto - F.length("t.tokens")).alias("token_start_ms"), at(upto).alias("token_end_ms"),
+    )

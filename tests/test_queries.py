@@ -83,3 +83,16 @@ def test_first_and_last_rows(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, None), (None, 2, "z"), (None, 5, "y")], "key string, pos long, value string")
     assert sorted(map(tuple, caching.last_writer(rows, "key", "pos").collect()), key=str) == [("a", 3, None), (None, 5, "y")]
     assert sorted(map(tuple, caching.first_occurrence(rows, ["key"], "pos").collect()), key=str) == [("a", 1, "x"), (None, 2, "z")]
+
+
+def test_proportional_tokens_stay_in_their_row(spark):
+    """No shuffle, no sort; cues without tokens give no rows, also between others and in slices of a batch."""
+    from cuelake.operators import windows
+
+    rows = spark.createDataFrame([(1, 0, 10, "ab 漢c"), (2, 0, 9, None), (3, 0, 9, " "), (4, 5, 8, "xyz")], "cue_id long, start_ms long, end_ms long, src_text string")
+    found = windows.proportional_tokens(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and plan.count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, found.collect())) == [
+        (1, 0, "ab", 0, 5), (1, 1, "漢", 5, 7), (1, 2, "c", 7, 10), (4, 0, "xyz", 5, 8),
+    ]

@@ -63,8 +63,8 @@ def _planned(rules: kernel.Rules) -> Column:
             return None
         inner, score = found
         positions = [n.position for n in inner]
-        upto = [int(kernel.widths(text[:p]).sum()) for p in positions]
-        shares = [u / max(int(kernel.widths(text).sum()), 1) for u in upto]
+        upto = [0, *kernel.widths(text).cumsum().tolist()]
+        shares = [upto[p] / max(upto[-1], 1) for p in positions]
         cut = lambda t: t if t is None else kernel.pieces_at(t, positions) if t == text else kernel.pieces_by_share(t, shares)
         srcs, tgts = cut(src), cut(tgt)
         ends = [*(int(n.time) for n in inner), end]

@@ -14,12 +14,14 @@ from cuelake.sources.tables import cues
 P = Plans()
 
 
-def spoken_words(text: Column, cue_id: Column, start: Column, end: Column) -> Column:
-    """Words between spaces at their share of the cue's time, followed by silences of 0 to 800 ms; of every seventh cue not aligned."""
+def first_places(text: Column) -> Column:
+    """Where the words between spaces begin, from 1; null without any text."""
     blank = lambda i: F.substring(text, i, F.lit(1)).isin(*" \t\n\x0b\x0c\r")
-    first = F.filter(
-        F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))), lambda i: ~blank(i) & ((i == 1) | blank(i - 1))
-    )
+    return F.filter(F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))), lambda i: ~blank(i) & ((i == 1) | blank(i - 1)))
+
+
+def spoken_words(first: Column, text: Column, cue_id: Column, start: Column, end: Column) -> Column:
+    """Words at the places ``first``, at their share of the cue's time, followed by silences of 0 to 800 ms; of every seventh cue not aligned."""
     at = lambda i: start + F.floor((end - start) * (i - 1) / F.length(text))
     nxt = lambda k: F.coalesce(at(F.get(first, k + 1)), end)
     gap = lambda k: (cue_id * 31 + k * 17) % 9 * 100
@@ -33,8 +35,10 @@ def spoken_words(text: Column, cue_id: Column, start: Column, end: Column) -> Co
 
 
 def spoken(spark, sf) -> DataFrame:
-    words = spoken_words(F.col("src_text"), F.col("cue_id"), F.col("start_ms"), F.col("end_ms"))
-    return cues(spark, sf).withColumn("words", words)
+    # The places are a column of their own: inside the lambda they would be sought again for every word.
+    rows = cues(spark, sf).withColumn("first", first_places(F.col("src_text")))
+    words = spoken_words(F.col("first"), F.col("src_text"), F.col("cue_id"), F.col("start_ms"), F.col("end_ms"))
+    return rows.withColumn("words", words).drop("first")
 
 
 SPOKEN_SQL = rf"""

@@ -275,3 +275,19 @@ def test_discovery(spark, tmp_path):
         (tmp_path / "bad.json").write_text(bad)
         with pytest.raises(Exception, match="lacks one|no list"):
             discovery.load_index(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_cut_plan_in_blocks(monkeypatch):
+    """The same plan whether all pieces are weighed at once or a few at a time."""
+    rng = random.Random(8)
+    found = 0
+    for _ in range(40):
+        text = "".join(rng.choice("ab c，。漢 ") for _ in range(rng.randrange(2, 60)))
+        words = [{"start_ms": i * 900, "end_ms": i * 900 + rng.choice((400, 700)), "word": w, "aligned": True} for i, w in enumerate(text.split())]
+        plans = []
+        for cells in (1 << 16, 50, 1):
+            monkeypatch.setattr(k, "_CELLS", cells)
+            plans.append(k.cut_plan(text, 0, 16_500, words))
+        assert plans[0] == plans[1] == plans[2]
+        found += plans[0] is not None
+    assert found > 20

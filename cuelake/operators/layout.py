@@ -44,6 +44,14 @@ def greedy_lines(text: Column, most: int = 16) -> Column:
     return run(text)
 
 
+def _structs(lists: pa.Array) -> list[list[dict] | None]:
+    """``to_pylist`` of lists of structs, column by column."""
+    names = [f.name for f in lists.type.value_type]
+    rows = [dict(zip(names, r, strict=True)) for r in zip(*(c.to_pylist() for c in lists.values.flatten()), strict=True)]
+    at, none = lists.offsets.to_pylist(), lists.is_null().to_pylist()
+    return [None if gone else rows[a:b] for a, b, gone in zip(at, at[1:], none, strict=False)]
+
+
 def _planned(rules: kernel.Rules) -> Column:
     """The plan of every cue; null: it stays whole."""
     kind = pa.struct(
@@ -82,7 +90,7 @@ def _planned(rules: kernel.Rules) -> Column:
 
     @F.arrow_udf(PLAN)
     def run(start: pa.Array, end: pa.Array, src: pa.Array, tgt: pa.Array, words: pa.Array, cuts: pa.Array) -> pa.Array:
-        columns = (c.to_pylist() for c in (start, end, src, tgt, words, cuts))
+        columns = (*(c.to_pylist() for c in (start, end, src, tgt)), _structs(words), _structs(cuts))
         return pa.array([one(*row) for row in zip(*columns, strict=True)], kind)
 
     long = F.col("end_ms") - F.col("start_ms") > rules.most_ms

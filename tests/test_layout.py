@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from functools import lru_cache
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -291,3 +292,10 @@ def test_cut_plan_in_blocks(monkeypatch):
         assert plans[0] == plans[1] == plans[2]
         found += plans[0] is not None
     assert found > 20
+
+
+def test_structs_by_column():
+    rows = [[{"a": 1, "b": "x"}, {"a": None, "b": "y"}], None, [], [{"a": 3, "b": None}]]
+    lists = pa.array(rows, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.string())])))
+    assert layout._structs(lists) == rows
+    assert layout._structs(lists[1:]) == rows[1:]

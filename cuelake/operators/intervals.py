@@ -38,11 +38,21 @@ def merge(spans: DataFrame, key: str, gap_ms: int | Column = 0) -> DataFrame:
 
 def gaps(spans: DataFrame, key: str, low_ms: int, high_ms: int) -> DataFrame:
     """(key, start_ms, end_ms): what the spans of a key leave of [low, high]."""
-    merged = merge(clamp(spans, low_ms, high_ms), key)
+    return holes(clamp(spans, low_ms, high_ms), key, low_ms, high_ms)
+
+
+def holes(spans: DataFrame, key: str, low_ms: int, high_ms: int) -> DataFrame:
+    """``gaps`` of spans inside [low, high] already; an empty span at ``high_ms`` makes a key known that has no other.
+
+    One pass over a key's unions: the last one also gives what follows it.
+    """
+    merged = merge(spans, key)
     w = Window.partitionBy(key).orderBy("start_ms")
-    inner = merged.select(key, F.coalesce(F.lag("end_ms").over(w), F.lit(low_ms)).alias("s"), F.col("start_ms").alias("e"))
-    tail = merged.groupBy(key).agg(F.max("end_ms").alias("s")).select(key, "s", F.lit(high_ms).cast("long").alias("e"))
-    return inner.union(tail).where("e > s").toDF(key, "start_ms", "end_ms")
+    hole = lambda s, e: F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"))
+    before = hole(F.coalesce(F.lag("end_ms").over(w), F.lit(low_ms)), F.col("start_ms"))
+    behind = F.when(F.lead("start_ms").over(w).isNull(), hole(F.col("end_ms"), F.lit(high_ms)))
+    found = merged.select(key, F.array(before, behind).alias("both")).select(key, F.explode("both").alias("h"))
+    return found.where("h.e > h.s").select(key, F.col("h.s").alias("start_ms"), F.col("h.e").alias("end_ms"))
 
 
 def equal_pieces(spans: DataFrame, max_ms: int, carry: tuple[str, ...]) -> DataFrame:

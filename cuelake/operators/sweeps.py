@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake.operators import intervals
 
+BIN_MS = 50_000
 DEFAULT = {"min_blank_ms": 600, "min_speech_ms": 1000, "merge_gap_ms": 400, "pad_ms": 150}
 # The sweep moves one axis at a time; the first is the control that must lose nothing.
 SWEEP = {
@@ -32,10 +33,11 @@ def kept_regions(pauses: DataFrame, media: DataFrame, key: str, total_ms: int, c
     """
     long = _keyed(pauses.select(key, "start_ms", "end_ms"), key, configs).where("end_ms - start_ms >= key.min_blank_ms")
     long = intervals.clamp(long, 0, total_ms)
-    between = intervals.gaps(long, "key", 0, total_ms)
-    every = _keyed(media.select(key).distinct(), key, configs)
-    whole = every.join(long.select("key").distinct(), "key", "left_anti").select("key", F.lit(0).cast("long").alias("start_ms"), F.lit(total_ms).cast("long").alias("end_ms"))
-    speech = intervals.merge(between.unionByName(whole), "key", F.col("key.merge_gap_ms")).where("end_ms - start_ms >= key.min_speech_ms")
+    # An empty span at the end stands for every medium: what no pause cuts is one hole.
+    at_end = F.lit(total_ms).cast("long")
+    every = _keyed(media.select(key).distinct(), key, configs).select("key", at_end.alias("start_ms"), at_end.alias("end_ms"))
+    between = intervals.holes(long.select("key", "start_ms", "end_ms").unionByName(every), "key", 0, total_ms)
+    speech = intervals.merge(between, "key", F.col("key.merge_gap_ms")).where("end_ms - start_ms >= key.min_speech_ms")
     padded = speech.select(
         "key", F.greatest(F.lit(0), F.col("start_ms") - F.col("key.pad_ms")).alias("start_ms"), F.least(F.lit(total_ms), F.col("end_ms") + F.col("key.pad_ms")).alias("end_ms")
     )
@@ -52,14 +54,15 @@ def pregate_sweep(pauses: DataFrame, spans: DataFrame, key: str, total_ms: int,
     regions = kept_regions(pauses, spans, key, total_ms, configs)
     decoded = regions.groupBy(F.col("key.config").alias("config")).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("decoded_ms"))
     labelled = good.groupBy("label").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("labelled_ms"))
-    wide = _keyed(good.select(key, "span_id", "label", "start_ms", "end_ms"), key, configs)
-    named = wide.withColumn("of", F.struct("span_id", "label"))
-    pairs = intervals.overlap_pairs(named, regions.withColumn("region", F.col("start_ms")), "key", "of", "region")
-    kept = pairs.groupBy(F.col("key.config").alias("config"), F.col("a_id.label").alias("label")).agg(F.sum("overlap_ms").alias("kept_ms"))
+    named = regions.select(F.col("key.media").alias(key), F.col("key.config").alias("config"), "start_ms", "end_ms")
+    # Spans meet the regions of all configurations at once; regions are long, and so are the bins.
+    pairs = intervals.overlap_pairs(good, named, key, "label", "config", bin_ms=BIN_MS)
+    kept = pairs.groupBy(F.col("b_id").alias("config"), F.col("a_id").alias("label")).agg(F.sum("overlap_ms").alias("kept_ms"))
     # One row per configuration and label: both are short lists.
     names = spans.sparkSession.createDataFrame([(n,) for n in configs], "config string")
     grid = labelled.withColumn("config", F.explode(F.array(*(F.lit(n) for n in configs))))
-    n_media = spans.select(F.count_distinct(key)).scalar()
+    # The same distinct media as in ``kept_regions``, so that Spark uses their exchange again.
+    n_media = spans.select(key).distinct().agg(F.count(key)).scalar()
     out = grid.join(kept, ["config", "label"], "left").join(F.broadcast(names.join(decoded, "config", "left")), "config")
     ms = F.coalesce("kept_ms", F.lit(0))
     return out.select(

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cuelake.operators import sweeps
+from cuelake.operators import intervals, sweeps
 from cuelake.plans.sweeps import as_tries
 from cuelake.streaming import sizes
 
@@ -159,3 +159,19 @@ def test_fan_out_writes_once(spark, tmp_path):
     assert sorted(r["seq"] for r in read("all").collect()) == [1, 2, 3, 4] and sorted(r["seq"] for r in read("of_a").collect()) == [1, 2, 3]
     found = {r["seq"]: (r["job"], r["current"], r["total"]) for r in read("progress").collect()}
     assert found == {1: ("a", "1", None), 4: ("b", None, "9")}
+
+
+def test_sweep_reads_its_input_few_times(spark):
+    """The gaps are one pass, a medium without pauses is known by an empty span, spans are not repeated for every configuration."""
+    pauses = spark.createDataFrame([(1, 1000, 9000), (1, 20000, 21000)], "m long, start_ms long, end_ms long")
+    spans = spark.createDataFrame([(1, 1, "a", 0, 5000), (2, 2, "b", 100, 40000)], "m long, span_id long, label string, start_ms long, end_ms long")
+    found = sweeps.pregate_sweep(pauses, spans, "m", 40_000)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window ") <= 14 and plan.count("Join") <= 4
+    got = {(r["config"], r["label"]): (r["kept_ms"], r["lost_ms"]) for r in found.collect()}
+    assert got["keep_everything", "a"] == (5000, 0) and got["default", "b"] == (39900, 0) and got["default", "a"] == (1150, 3850)
+
+
+def test_holes_of_whole_and_empty_keys(spark):
+    rows = spark.createDataFrame([("a", 100, 100), ("b", 0, 100), ("b", 100, 100), ("c", 10, 20), ("c", 15, 30)], "k string, start_ms long, end_ms long")
+    assert sorted(map(tuple, intervals.holes(rows, "k", 0, 100).collect())) == [("a", 0, 100), ("c", 0, 10), ("c", 30, 100)]

@@ -51,7 +51,8 @@ def pregate_sweep(pauses: DataFrame, spans: DataFrame, key: str, total_ms: int,
     configurations share one plan, keyed by medium and configuration.
     """
     good = spans.where("end_ms > start_ms")
-    regions = kept_regions(pauses, spans, key, total_ms, configs)
+    # Rows without a medium meet nothing; told here, both uses of the regions are the same plan and share its exchange.
+    regions = kept_regions(pauses, spans, key, total_ms, configs).where("key.media IS NOT NULL")
     decoded = regions.groupBy(F.col("key.config").alias("config")).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("decoded_ms"))
     labelled = good.groupBy("label").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("labelled_ms"))
     named = regions.select(F.col("key.media").alias(key), F.col("key.config").alias("config"), "start_ms", "end_ms")

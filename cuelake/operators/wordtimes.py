@@ -2,7 +2,8 @@
 
 ``segments`` has (seg_id, text, start_ms, end_ms, extent_start_ms, extent_end_ms),
 ``spans`` one row per character of the text's normal form: (seg_id, pos from 0,
-start_ms, end_ms, score).
+start_ms, end_ms, score).  An aligner gives a segment's characters together: then
+they stay an array ``chars`` in the segment's row.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from cuelake.functions import normal
 OUTLIER_GAPS, ONSET_MS, CODA_MS = 4.0, 300, 400
 ALIGNED, SYNTHETIC, MISMATCH = "ctc_forced_alignment", "synthetic_proportional", "char_span_count_mismatch"
 _TOKENS, _WHOLE = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]", re.ASCII), re.compile(r"\S+", re.ASCII)
+CHARS = "array<struct<pos:long,start_ms:double,end_ms:double,score:double>>"
 WORDS = "array<struct<k:int,word:string,start_ms:double,end_ms:double,score:double,measured:boolean>>"
 
 
@@ -32,7 +34,7 @@ def _bounds(starts: list, ends: list) -> tuple[float | None, float | None]:
     """
     n, s0, e1 = len(starts), starts[0], ends[-1]
     gaps = [b - a if a is not None and b is not None else None for a, b in pairwise(starts)]
-    known = sorted(g for g in gaps if g is not None)
+    known = sorted(gaps if None not in gaps else [g for g in gaps if g is not None])
     mid = (known[len(known) // 2] + known[(len(known) - 1) // 2]) / 2 if known else 0.0
     if n < 3 or mid <= 0:
         return s0, e1
@@ -41,12 +43,12 @@ def _bounds(starts: list, ends: list) -> tuple[float | None, float | None]:
     return start, _most(start, end)
 
 
-def _most(*values: float | None) -> float | None:
-    return max((v for v in values if v is not None), default=None)
+def _most(a: float | None, b: float | None) -> float | None:
+    return b if a is None or (b is not None and b > a) else a
 
 
-def _least(*values: float | None) -> float | None:
-    return min((v for v in values if v is not None), default=None)
+def _least(a: float | None, b: float | None) -> float | None:
+    return b if a is None or (b is not None and b < a) else a
 
 
 def _width(token: str) -> int:
@@ -67,10 +69,11 @@ def _measured(tokens: list[str], widths: list[int], extent: tuple, pos: list, st
     out, at, upto = [], bisect_left(pos, 0), 0
     for k, (word, width) in enumerate(zip(tokens, widths, strict=True)):
         upto, first = upto + width, at
-        while at < len(pos) and pos[at] < upto:
-            at += 1
+        at = bisect_left(pos, upto, at)
         if at > first:
-            told = [x for x in scores[first:at] if x is not None]
+            told = scores[first:at]
+            if None in told:
+                told = [x for x in told if x is not None]
             s = _least(_most(starts[first], lo), hi)
             e = _least(_most(ends[at - 1], s), hi)
             out.append([k, word, s, e, sum(told) / len(told) if told else None])
@@ -102,7 +105,7 @@ def _timed(*columns: Column) -> Column:
         for i, (t, a, b, *extent) in enumerate(zip(*(c.to_pylist() for c in (text, start, end, x0, x1)), strict=True)):
             own = slice(cuts[i], cuts[i + 1])
             tokens = _TOKENS.findall(t)
-            widths = [*map(_width, tokens)]
+            widths = [*map(len, tokens)] if t.isascii() else [*map(_width, tokens)]
             same = bool(tokens) and sum(widths) == own.stop - own.start
             found = _measured(tokens, widths, extent, pos[own], starts[own], ends[own], scores[own]) if same else _shared(t, a, b)
             rows += found
@@ -127,15 +130,23 @@ def aligned_words(segments: DataFrame, spans: DataFrame) -> DataFrame:
     score and with the reason.  Segments without words or, then, without time give
     no rows; spans of unknown segments are ignored.
 
-    A segment's characters become one array, so only segments are joined; characters
-    that are dealt by segment already do not shuffle.
+    A segment's characters become one array, so only segments are joined.  The grouping
+    sorts the characters; where they come as arrays, ``words_from_arrays`` needs none.
     """
     char = F.struct(F.col("pos").cast("long").alias("pos"), *(F.col(c).cast("double").alias(c) for c in ("start_ms", "end_ms", "score")))
     packed = spans.where("seg_id IS NOT NULL AND pos IS NOT NULL").groupBy("seg_id").agg(F.sort_array(F.collect_list(char)).alias("chars"))
-    known = segments.join(packed, "seg_id", "left")
+    return words_from_arrays(segments.join(packed, "seg_id", "left"))
+
+
+def words_from_arrays(segments: DataFrame) -> DataFrame:
+    """``aligned_words`` of segments that hold their characters: no join, no grouping, no shuffle.
+
+    ``chars`` is an array of (pos long, start_ms, end_ms, score double) in the order of
+    ``pos``, which is never null; a null array has no characters.
+    """
     times = (F.col(c).cast("double") for c in ("start_ms", "end_ms", "extent_start_ms", "extent_end_ms"))
-    none = F.array().cast("array<struct<pos:long,start_ms:double,end_ms:double,score:double>>")
-    words = known.select("seg_id", _timed(normal.one_line(F.col("text")), *times, F.coalesce("chars", none)).alias("words"))
+    none = F.array().cast(CHARS)
+    words = segments.select("seg_id", _timed(normal.one_line(F.col("text")), *times, F.coalesce("chars", none)).alias("words"))
     # The outer form, or Spark adds a filter on the array's size, for which Python would run a second time.
     w = words.select("seg_id", F.explode_outer("words").alias("w")).where("w IS NOT NULL").select("seg_id", "w.*")
     return w.select(
